@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logmill.llm import contamination as L
 from logmill.llm import conversations as C
 from logmill.sources.tables import table
 
@@ -23,5 +24,25 @@ def p1_dropped(s, d):
     return C.dropped(table(s, d, "messages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dialogues": p1_dialogues, "p1_threads": p1_threads, "p1_dropped": p1_dropped}
+def _matches(s, d):
+    return L.matches(table(s, d, "documents"), table(s, d, "eval_items"))
+
+
+def p6_found(s, d):
+    return L.leaks(_matches(s, d)).select("doc_id", "item_id")
+
+
+def p6_matches(s, d):
+    return _matches(s, d)
+
+
+def p6_clean(s, d):
+    return L.clean(table(s, d, "documents"), _matches(s, d)).select("doc_id", "source", "engagement")
+
+
+def p6_report(s, d):
+    return L.leak_report(table(s, d, "eval_items"), _matches(s, d))
+
+
+QUERIES = {"p1_found": p1_found, "p1_dialogues": p1_dialogues, "p1_threads": p1_threads, "p1_dropped": p1_dropped, "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p6_report": p6_report}
 SQL: dict[str, str] = {}
