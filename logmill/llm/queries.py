@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from logmill.llm import contamination as L
 from logmill.llm import conversations as C
+from logmill.llm import mixture as M
 from logmill.sources.tables import table
 
 
@@ -44,5 +45,13 @@ def p6_report(s, d):
     return L.leak_report(table(s, d, "eval_items"), _matches(s, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_dialogues": p1_dialogues, "p1_threads": p1_threads, "p1_dropped": p1_dropped, "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p6_report": p6_report}
+def p7_mixture(s, d):
+    return M.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))[0]
+
+
+def p7_shares(s, d):
+    return M.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_dialogues": p1_dialogues, "p1_threads": p1_threads, "p1_dropped": p1_dropped, "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
