@@ -5,6 +5,7 @@ from __future__ import annotations
 from logmill.llm import contamination as L
 from logmill.llm import conversations as C
 from logmill.llm import mixture as M
+from logmill.llm import spam as S
 from logmill.sources.tables import table
 
 
@@ -53,5 +54,13 @@ def p7_shares(s, d):
     return M.mixture(table(s, d, "documents"), table(s, d, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_dialogues": p1_dialogues, "p1_threads": p1_threads, "p1_dropped": p1_dropped, "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(s, d):
+    return S.spam_pages(S.score(table(s, d, "documents"))).select("doc_id")
+
+
+def p8_scores(s, d):
+    return S.score(table(s, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_dialogues": p1_dialogues, "p1_threads": p1_threads, "p1_dropped": p1_dropped, "p6_found": p6_found, "p6_matches": p6_matches, "p6_clean": p6_clean, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_scores": p8_scores}
 SQL: dict[str, str] = {}
