@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logmill import queries_data
+from logmill import queries_data, queries_log
 
-QUERIES = {**queries_data.QUERIES}
-SQL = {**queries_data.SQL}
+QUERIES = {**queries_log.QUERIES, **queries_data.QUERIES}
+SQL = {**queries_log.SQL, **queries_data.SQL}
