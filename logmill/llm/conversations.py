@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from logmill.functions import jsontree as J
 from logmill.plans.pointers import jump
@@ -17,7 +18,7 @@ KINDS = ["ask", "reply", "close"]
 FAULTS = ["no_parent", "bad_parent", "not_its_recipient", "wrong_addressee", "unanswered", "empty"]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _blank(text: pd.Series) -> pd.Series:
     return text.map(lambda t: J.is_blank(J.read(t)))
 
