@@ -47,7 +47,7 @@ def audit_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A text is read whole, as its last line may lack its break and lines must be numbered in order.
     """
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
     lines = texts.select("source", F.posexplode(F.split("value", "\n")).alias("line_no", "line"), F.size(F.split("value", "\n")).alias("n"))
     return lines.select("source", F.col("line_no").cast("long").alias("line_no"), "line", (F.col("line_no") < F.col("n") - 1).alias("ended"))
 
@@ -73,7 +73,8 @@ def append_log(messages: DataFrame, path: str) -> None:
 def write_audit(blocks: DataFrame, path: str) -> None:
     """SNK3: audit blocks as text, a folder an engagement, in order of seq within each file."""
     parted = blocks.repartitionByRange("engagement", "seq").sortWithinPartitions("engagement", "seq")
-    parted.select("engagement", F.col("block").alias("value")).write.mode("append").option("lineSep", "").partitionBy("engagement").text(path)
+    # The writer ends each row with a line feed, which is the block's last one.
+    parted.select("engagement", F.regexp_replace("block", r"\n\z", "").alias("value")).write.mode("append").partitionBy("engagement").text(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -24,8 +24,8 @@ def frame(spark, name, rows):
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SCHEMAS[name])
 
 
-def agent(i, name, parent=None, eng="e", n=None, **k):
-    return {"seq": i, "agent_id": name, "parent": parent, "engagement": eng, "arrived_at": at(i if n is None else n), "role": "scout", "created_at": "2025-01-31T23:30:00-02:00", **k}
+def agent(i, aid, parent=None, eng="e", n=None, **k):
+    return {"seq": i, "agent_id": aid, "parent": parent, "engagement": eng, "arrived_at": at(i if n is None else n), "role": "scout", "created_at": "2025-01-31T23:30:00-02:00", **k}
 
 
 def tree(spark, rows):
