@@ -115,7 +115,7 @@ def search(texts: list[tuple[int, list[str]]], tests: Tests) -> Iterator[tuple[i
     length = np.diff(np.append(first, len(a))) + RUN - 1
     best: dict[int, tuple[int, int]] = {}
     for k, n, at in zip(a[first].tolist(), length.tolist(), u[first].tolist()):
-        if n > best.get(k, (0, 0))[0]:
+        if k not in best or (-n, at) < (-best[k][0], best[k][1]):
             best[k] = (n, at)
     for k, c in zip(pairs.tolist(), counts.tolist()):
         x, i = divmod(k, len(tests.lengths))

@@ -121,9 +121,13 @@ def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None, b
     rows = []
     for r in t[t["usable"]].itertuples():
         shards = sizes[sizes["source"] == r.source].sort_values("shard")
-        caps = (shards["tokens"] * r.max_repeats // block).tolist()
-        given = sainte_lague(shards["tokens"].astype(float).tolist(), r.blocks, caps)
-        rows += [(r.source, s, g * block, n) for s, g, n in zip(shards["shard"], given, shards["tokens"]) if g]
+        most = shards["tokens"] * r.max_repeats
+        if r.blocks >= most.sum() // block:  # all there is, the last part of a block included
+            quotas = most
+        else:
+            given = sainte_lague(shards["tokens"].astype(float).tolist(), r.blocks, (-(-most // block)).tolist())
+            quotas = np.minimum(np.asarray(given) * block, most)
+        rows += [(r.source, int(s), int(q), int(n)) for s, q, n in zip(shards["shard"], quotas, shards["tokens"]) if q]
     return pd.DataFrame(rows, columns=["source", "shard", "quota", "shard_tokens"]), t
 
 
