@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logmill.operators.inbox import envelope_text
+from logmill.plans.skew import previous_in_group
 
 
 def blocks(log: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def recover(lines: DataFrame) -> DataFrame:
 
     ``lines``: source, line_no, line (without its break), ended (whether the break is there). A header
     (``### ... | seq=N``) opens a block; the next ASK: or CLOSE: line completes it. An incomplete one never
-    counts. Every line looks back to the nearest header or terminator: one window a source, without growing state.
+    counts. Every header or terminator looks back to the nearest one before it, block by block, so a text of any
+    length is spread over tasks.
     """
     number = F.regexp_extract("line", r"^### .* \| seq=(\d+)\r?$", 1).try_cast("long")
     end = F.col("ended") & (F.col("line").startswith("ASK: ") | F.col("line").startswith("CLOSE: "))
     seen = lines.select("source", "line_no", F.when(F.col("ended"), number).alias("header"), end.alias("end")).filter("header is not null or end")
-    before = F.lag("header").over(Window.partitionBy("source").orderBy("line_no"))
-    return seen.withColumn("open", before).groupBy("source").agg(F.coalesce(F.max(F.when(F.col("end"), F.col("open"))), F.lit(0).cast("long")).alias("cursor"))
+    return previous_in_group(seen, "source", "line_no", "header", "open").groupBy("source").agg(F.coalesce(F.max(F.when(F.col("end"), F.col("open"))), F.lit(0).cast("long")).alias("cursor"))
 
 
 def fold(checkpoints: Column, delivered: Column) -> Column:
@@ -59,11 +60,14 @@ def fold(checkpoints: Column, delivered: Column) -> Column:
 def recovered_cursors(checkpoints: DataFrame, deliveries: DataFrame) -> DataFrame:
     """STR3 for many agents: (agent_id, cursor).
 
-    ``checkpoints``: agent_id, position, after, cursor, seqs; ``deliveries``: agent_id, seq. A session's checkpoints
-    are a page each, so an agent's list is as long as its number of pages; its delivered seqs are those that a
-    checkpoint names (AGG8).
+    ``checkpoints``: agent_id, position, after, cursor, seqs; ``deliveries``: agent_id, seq. Which seqs were delivered
+    (AGG8) is found by an equi-join and not by sets. The fold itself goes in order, so an agent's checkpoints, three
+    numbers for each page that its session read, meet in one row.
     """
-    named = checkpoints.select("agent_id", F.explode("seqs").alias("seq")).distinct().join(deliveries.select("agent_id", "seq").distinct(), ["agent_id", "seq"]).groupBy("agent_id").agg(F.collect_set("seq").alias("delivered"))
-    lists = checkpoints.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("position", "after", "cursor", "seqs"))).alias("c"))
+    key = ["agent_id", "position"]
+    named = checkpoints.select(*key, F.explode("seqs").alias("seq"))
+    lost = named.join(deliveries.select("agent_id", "seq").distinct(), ["agent_id", "seq"], "left_anti").select(*key).distinct()
+    whole = checkpoints.select(*key, "after", "cursor").join(lost, key, "left_anti")
+    lists = whole.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("position", "after", "cursor", F.array().cast("array<bigint>").alias("seqs")))).alias("c"))
     none = F.array().cast("array<bigint>")
-    return lists.join(named, "agent_id", "left").select("agent_id", fold(F.col("c"), F.coalesce("delivered", none)).alias("cursor"))
+    return checkpoints.select("agent_id").distinct().join(lists, "agent_id", "left").select("agent_id", F.coalesce(fold(F.col("c"), none), F.lit(0).cast("long")).alias("cursor"))

@@ -47,6 +47,20 @@ def rank_in_group(df: DataFrame, group: str, order: str, name: str, block: int =
     return cut.join(starts, [group, "__block"]).withColumn(name, within.cast("long") + F.col("__before")).drop("__block", "__before")
 
 
+def previous_in_group(df: DataFrame, group: str, order: str, value: str, name: str, block: int = 65_536) -> DataFrame:
+    """The ``value`` of the row before, in the order of ``order``, a long that is unique within the group.
+
+    As ``rank_in_group``, block by block: the first row of a block takes the last value of the block before it.
+    """
+    cut = df.withColumn("__block", F.floor(F.col(order) / F.lit(block)))
+    row = F.max(F.struct(order, F.col(value).alias("v")))
+    lasts = cut.groupBy(group, "__block").agg(row.alias("__last"))
+    carried = lasts.select(group, "__block", F.lag("__last.v").over(Window.partitionBy(group).orderBy("__block")).alias("__carry"))
+    within = Window.partitionBy(group, "__block").orderBy(order)
+    first = F.row_number().over(within) == 1
+    return cut.join(carried, [group, "__block"]).withColumn(name, F.when(first, F.col("__carry")).otherwise(F.lag(value).over(within))).drop("__block", "__carry")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """One row a key: the least by ``order``, then by the kept columns; aggregated before the shuffle."""
     fields = [*order, *(c for c in keep if c not in order)]

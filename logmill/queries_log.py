@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions import rules as R
 from logmill.operators import audit, frames, inbox, ingest, migrate, reconcile, scope
+from logmill.plans.skew import previous_in_group, rank_in_group
 from logmill.sources.tables import table
 from logmill.sources.views import SQL_VIEWS, exports, log, members
 
@@ -665,12 +666,11 @@ def audit_recover(s, d):
 
 
 def _checkpoints(s, d):
-    """A checkpoint a message that an agent received, each after the one before it."""
-    from pyspark.sql import Window
-
+    """A checkpoint for every 32 messages that an agent received, each after the one before it."""
     f = inbox.fanout(_log(s, d), _members(s, d))
-    w = Window.partitionBy("agent_id").orderBy("seq")
-    return f.select("agent_id", F.col("seq").alias("position"), F.coalesce(F.lag("seq").over(w), F.lit(0)).alias("after"), F.col("seq").alias("cursor"), F.array("seq").alias("seqs")), f
+    paged = rank_in_group(f, "agent_id", "seq", "n").groupBy("agent_id", F.floor((F.col("n") - 1) / R.PAGE_ROWS).alias("position")).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+    ends = paged.withColumn("cursor", F.array_max("seqs"))
+    return previous_in_group(ends, "agent_id", "position", "cursor", "before").withColumn("after", F.coalesce("before", F.lit(0))).drop("before"), f
 
 
 @query(FANOUT + "SELECT agent_id, max(seq) AS cursor FROM fan GROUP BY agent_id")

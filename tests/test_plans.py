@@ -24,6 +24,12 @@ def test_rank_in_group(spark):
         assert [got[k] for k in sorted(x for x in got if x[0] == g)] == list(range(1, sum(x[0] == g for x in got) + 1))
 
 
+def test_previous_in_group(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7).alias("o"), (F.col("id") + 5).alias("v"))
+    got = {(r.g, r.o): r.p for r in skew.previous_in_group(df, "g", "o", "v", "p", block=100).collect()}
+    assert all(got[i % 2, i * 7] == (i + 3 if i > 1 else None) for i in range(1000))
+
+
 def test_scratch_tables(spark):
     s = scratch.Scratch(spark, "t")
     df = s.write(spark.range(5), "a")
