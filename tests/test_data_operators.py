@@ -171,6 +171,16 @@ def test_drift_of_a_rename_chain(spark):
     assert drift.changes(frame(spark, "dump_rows", [])).count() == 0 and drift.unify(frame(spark, "dump_rows", []), "messages").count() == 0
 
 
+def test_a_name_that_comes_back_begins_another_chain(spark):
+    bodies = [{"seq": 1, "archived": 1}, {"seq": 1, "hidden": 1}, {"seq": 1}, {"seq": 1, "hidden": 9}, {"seq": 1, "shown": 9}]
+    rows = [dump(10 * v + i, f"f{v}", i, {**b, "seq": i}, v) for v, b in enumerate(bodies) for i in range(3)]
+    df = frame(spark, "dump_rows", rows)
+    names = drift.canonical_names(df, drift.changes(df))
+    assert {(r.since, r.until, r.name, r.target) for r in names.collect()} == {(2, 3, "hidden", "archived"), (5, 2**31 - 1, "shown", "hidden")}
+    got = {(r.file_name, r.archived, r.extra.get("hidden")) for r in drift.unify(df, "messages").collect()}
+    assert got == {("f0", 1, None), ("f1", 1, None), ("f2", None, None), ("f3", None, "9"), ("f4", None, "9")}
+
+
 def test_drift_needs_two_equal_pairs_and_a_majority(spark):
     one = [dump(1, "a", 1, {"x": 1}), dump(2, "b", 1, {"y": 1}, 1)]
     assert {(r.change, r.field) for r in drift.changes(frame(spark, "dump_rows", one)).collect()} == {("added", "y"), ("removed", "x")}
