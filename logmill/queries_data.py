@@ -131,7 +131,29 @@ orphans AS (
   WHERE t.key IS NULL OR t.first_row > r.arrived_at)
 """
 
+def opened_sql(x: str) -> str:
+    """SQL of ``jsontree.opened``: a JSON string that is the text of an object or array, as that."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches(({x}) ->> '$', '^\\s*[\\[{{]') AND json_valid(({x}) ->> '$') THEN CAST(({x}) ->> '$' AS JSON) ELSE {x} END"
+
+
+#: Every value of the JSON columns of messages, by recursion: seq, field, v, path, parent, row (whether it is a record).
+WALK = f"""
+WITH RECURSIVE once AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY arrived_at) AS rn FROM messages WHERE seq IS NOT NULL) WHERE rn = 1),
+texts AS (SELECT seq, 'data_json' AS field, data_json AS t FROM once UNION ALL SELECT seq, 'evidence_json', evidence_json FROM once),
+valid AS (SELECT seq, field, CAST(t AS JSON) AS j FROM texts WHERE json_valid(t)),
+opened AS (SELECT seq, field, {opened_sql('j')} AS v FROM valid),
+walk AS (
+  SELECT seq, field, CASE WHEN field = 'evidence_json' AND json_type(v) = 'OBJECT' THEN CAST('[' || CAST(v AS VARCHAR) || ']' AS JSON) ELSE v END AS v,
+    '$' AS path, '$' AS parent, false AS row, field = 'evidence_json' AS outermost FROM opened
+  UNION ALL
+  SELECT w.seq, w.field, {opened_sql('e.value')}, w.path || CASE WHEN json_type(w.v) = 'OBJECT' THEN '.' || e.key ELSE '[' || e.key || ']' END, CASE WHEN w.row THEN w.path ELSE w.parent END,
+    json_type(w.v) = 'ARRAY' AND (json_type({opened_sql('e.value')}) = 'OBJECT' OR (w.outermost AND json_type(e.value) <> 'NULL')), false
+  FROM walk w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT', 'ARRAY'))
+"""
+
 SQL = {
+    "p4_found": WALK + "SELECT seq, field, path AS node_path, parent AS parent_path FROM walk WHERE row",
     "p2_found": TREE + "SELECT agent_id, root_id, depth, path FROM tree",
     "p2_descendants": TREE + "SELECT agent_id, descendant_id, distance FROM closure",
     "p2_subtrees": TREE + "SELECT t.agent_id, count(c.agent_id) AS descendants, CAST(coalesce(max(c.distance), 0) AS BIGINT) AS height FROM tree t LEFT JOIN closure c ON c.agent_id = t.agent_id WHERE t.depth >= 0 GROUP BY t.agent_id",
