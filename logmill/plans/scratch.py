@@ -22,7 +22,7 @@ _local: list[str] = []
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by the session; in a single local process, where unset, a temporary one."""
-    named = spark.conf.get(SETTING, None)
+    named = spark.conf.get(SETTING, None) or _set_by_context(spark)
     if named:
         return named.rstrip("/")
     master = spark.conf.get("spark.master", "local")
@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def _set_by_context(spark: SparkSession) -> str | None:
+    """The folder that ``setCheckpointDir`` has named, if any."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
 class Scratch:
     """The scratch tables of one run of an operator.
 

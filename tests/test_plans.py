@@ -40,7 +40,7 @@ def test_scratch_tables(spark):
     scratch.clear_scratch(spark)
 
 
-def test_a_cluster_needs_a_shared_folder():
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
     class Conf:
         def get(self, key, default=None):
             return {"spark.master": "spark://host:7077"}.get(key, default)
@@ -48,6 +48,7 @@ def test_a_cluster_needs_a_shared_folder():
     class Session:
         conf = Conf()
 
+    monkeypatch.setattr(scratch, "_set_by_context", lambda s: None)
     with pytest.raises(LogError):
         scratch.shared_folder(Session())
 
