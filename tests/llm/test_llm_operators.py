@@ -297,7 +297,7 @@ def test_held_out_segments(spark, middle):
             segs = S.segments(r["text"])
             f = S.features(segs)
             x.append(f)
-            y.append(S.weak_labels(segs, f))
+            y.append(S.weak_labels(S.rules(f)))
     half = len(x) // 2
     a, b = np.concatenate(y[:half]), np.concatenate(y[half:])
     model = BaggedTrees(np.concatenate(x[:half])[a >= 0], a[a >= 0])
