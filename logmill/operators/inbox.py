@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logmill.errors import LogError
 from logmill.functions import rules as R
+from logmill.plans.skew import join_one
 from logmill.sources.views import MAIN, ROLES
 
 # Fixed value: what stands for a message that is larger than an envelope may be.
@@ -25,14 +26,16 @@ def fanout(log: DataFrame, members: DataFrame) -> DataFrame:
     equi-join. A sender receives its own topic message, as no rule excludes it.
     """
     address = known(members).select("engagement", "agent_id", F.explode(F.array("agent_id", F.concat(F.lit("@"), "role"))).alias("recipient"))
-    return log.filter("archived = 0").select("engagement", "recipient", "seq").join(address, ["engagement", "recipient"]).select("engagement", "agent_id", "seq")
+    live = log.filter("archived = 0").select("engagement", "recipient", "seq")
+    # A topic may be most of a log: its messages are salted, its few members are repeated for each salt.
+    return join_one(live, address, ["engagement", "recipient"]).select("engagement", "agent_id", "seq")
 
 
 def receivers(log: DataFrame, members: DataFrame) -> DataFrame:
     """FLT3: (seq, receivers) of every message, counted from the addresses, not from the deliveries."""
     address = known(members).select("engagement", F.explode(F.array("agent_id", F.concat(F.lit("@"), "role"))).alias("recipient"))
     sizes = address.groupBy("engagement", "recipient").agg(F.count(F.lit(1)).alias("n"))
-    both = log.select("seq", "engagement", "recipient", "archived").join(sizes, ["engagement", "recipient"], "left")
+    both = join_one(log.select("seq", "engagement", "recipient", "archived"), sizes, ["engagement", "recipient"], "left")
     return both.select("seq", F.when(F.col("archived") == 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("receivers"))
 
 

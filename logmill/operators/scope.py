@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmill.functions import rules as R
+from logmill.plans.skew import join_one
 
 
 def assets(engagements: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def allowed(engagements: DataFrame, targets: DataFrame) -> DataFrame:
     a = a.select("engagement", F.col("a.scheme").alias("scheme"), F.col("a.host").alias("host"), F.coalesce("a.port", F.lit(-1)).alias("port"), F.col("a.path").alias("prefix"))
     prefixes = a.groupBy("engagement", "scheme", "host", "port").agg(F.collect_set("prefix").alias("prefixes"))
     t = targets.withColumn("u", R.url(F.col("url"))).select("engagement", "seq", "position", "url", F.col("u.scheme").alias("scheme"), F.col("u.host").alias("host"), F.when(F.col("u.reason").isNull(), F.coalesce("u.port", F.lit(-1))).alias("port"), F.col("u.path").alias("path"))
-    both = t.join(prefixes, ["engagement", "scheme", "host", "port"], "left")
+    both = join_one(t, prefixes, ["engagement", "scheme", "host", "port"], "left")
     inside = F.exists("prefixes", lambda p: R.path_within(p, F.col("path")))
     return both.select("engagement", "seq", "position", "url", F.coalesce(inside, F.lit(False)).alias("allowed"))
 

@@ -11,7 +11,7 @@ SALTS = 32
 
 
 def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join ``many`` with ``one``, which has at most one row a key, however often a key occurs in ``many``.
+    """Join ``many`` with ``one``, which has one row a key or a few, however often a key occurs in ``many``.
 
     Keys with more than ``hot_rows`` rows in ``many`` get a salt on both sides. There are at most
     rows / hot_rows such keys, which bounds the broadcast: 500,000 keys for 1e11 rows. ``how``: inner, left,

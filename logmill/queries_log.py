@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions import rules as R
 from logmill.operators import audit, frames, inbox, ingest, migrate, reconcile, scope
-from logmill.plans.skew import previous_in_group, rank_in_group
+from logmill.plans.skew import join_one, previous_in_group, rank_in_group
 from logmill.sources.tables import table
 from logmill.sources.views import SQL_VIEWS, exports, log, members
 
@@ -239,7 +239,8 @@ def known_agents(s, d):
 @query("SELECT m.agent_id, m.parent FROM members m LEFT JOIN members p ON p.engagement = m.engagement AND p.agent_id = m.parent WHERE m.parent IS NOT NULL AND p.agent_id IS NULL")
 def orphan_parents(s, d):
     m = _members(s, d)
-    return m.filter("parent is not null").join(m.select("engagement", F.col("agent_id").alias("parent")), ["engagement", "parent"], "left_anti").select("agent_id", "parent")
+    known = m.select("engagement", F.col("agent_id").alias("parent"))
+    return join_one(m.filter("parent is not null"), known, ["engagement", "parent"], "left_anti").select("agent_id", "parent")
 
 
 @query(

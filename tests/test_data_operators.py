@@ -193,3 +193,20 @@ def test_drift_needs_two_equal_pairs_and_a_majority(spark):
 @pytest.mark.parametrize("a,b,same", [("1", 1, False), (1, True, False), ('{"a": 1}', {"a": 1}, True), ([1, 2], [2, 1], False)])
 def test_equal_values(a, b, same):
     assert (J.canonical(a) == J.canonical(b)) is same
+
+
+INTERNAL = ["key", "target", "status", "n_refs", "n_rows", "field", "fields", "version", "types", "gone", "new", "names", "renames", "h", "k", "__row", "__salt", "__hot"]
+
+
+def crowded(df, first):
+    for c in INTERNAL:
+        df = df.withColumn(c, df[first])
+    return df
+
+
+def test_columns_with_clashing_names(spark):
+    m, p, u = frame(spark, "messages", [message(1, reply_to=9, data_json='{"a":[{}]}')]), frame(spark, "participants", [agent(1, "a2")]), frame(spark, "purges", [])
+    assert references.find_orphans(crowded(m, "seq"), crowded(p, "seq"), crowded(u, "purge_id")).count() == 1
+    assert nested.flatten(crowded(m, "seq")).count() == 1
+    d = frame(spark, "dump_rows", [dump(1, "a", 1, {"x": 1}), dump(2, "b", 1, {"y": 1}, 1)])
+    assert drift.changes(crowded(d, "dump_id")).count() == 2 and drift.unify(crowded(d, "dump_id"), "messages").count() == 2
