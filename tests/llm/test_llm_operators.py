@@ -312,3 +312,15 @@ def test_trees_learn_a_rule():
     model = BaggedTrees(x[:3000], y[:3000], trees=9, depth=6)
     assert ((model.predict(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
     assert BaggedTrees(x[:0], y[:0]).predict(x[:3]).tolist() == [0, 0, 0]
+
+
+@pytest.mark.skipif(not HAS_TOKENIZER, reason="no tokenizer")
+def test_documents_with_clashing_columns(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    d = frame(spark, "documents", [{"doc_id": i, "text": item if i == 1 else prose(i), "source": "a", "engagement": None} for i in range(20)])
+    for c in ("host", "words", "score", "spam_words", "tokens", "shard", "at", "middle", "copies", "item_id", "covered_words", "m", "b"):
+        d = d.withColumn(c, d["doc_id"])
+    assert L.leaks(L.matches(d, items(spark, [(7, item)]).selectExpr("*", "0 as doc_id"))).count() == 1
+    assert S.score(d).count() == 20
+    goal = spark.createDataFrame([("a", 1.0, 1, "x")], "source string, target_share double, max_repeats int, tokens string")
+    assert M.mixture(d, goal)[0].count() == 20
