@@ -68,6 +68,16 @@ def first_by(df: DataFrame, keys: list[str], order: list[str], keep: list[str])
     return df.groupBy(*keys).agg(F.min(row).alias("__row")).select(*keys, *[F.col("__row")[c].alias(c) for c in keep])
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan with work for less than half of the cores (a small file of one row group), dealt out by ``key``.
+
+    Large tables have more splits than cores and pass unchanged, without a shuffle. ``scan`` must be a scan with
+    projections and filters only: its partitions are counted without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan._jdf.rdd().getNumPartitions() * 2 <= cores else scan
+
+
 def text_key(column: Column | str) -> Column:
     """Trimmed and in lower case, as ids, topics, kinds and sources are compared; null stays null."""
     c = F.col(column) if isinstance(column, str) else column
