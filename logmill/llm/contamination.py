@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmill.llm.text import words
+from logmill.plans.skew import spread
 
 #: Shorter runs of words are no passages.
 RUN = 5
@@ -173,7 +174,8 @@ def _search_block(documents: DataFrame, tests: Tests, spark) -> DataFrame:
         if shard:
             yield flush()
 
-    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInArrow(run, SCHEMA)
+    held = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    return spread(held, "doc_id").mapInArrow(run, SCHEMA)
 
 
 def leaks(found: DataFrame) -> DataFrame:

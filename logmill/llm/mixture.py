@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill.plans.scratch import Scratch
-from logmill.plans.skew import text_key
+from logmill.plans.skew import spread, text_key
 
 #: Where the vocabularies of public tokenizers are; a parameter, as is the file's name.
 TOKENIZERS = os.environ.get("LOGMILL_TOKENIZERS", "/opt/tokenizers")
@@ -64,7 +64,7 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "tokens"])
 
     held = documents.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", F.coalesce(text_key("source"), F.lit("")).alias("source"), "text")
-    return held.mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return spread(held, "doc_id").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[int] | None = None) -> list[int]:
