@@ -152,6 +152,39 @@ def asset_problem(asset: Column, mode: Column) -> Column:
     )
 
 
+def normal_path(c: Column) -> Column:
+    """An absolute path without empty, ``.`` and ``..`` steps; null if it is not absolute."""
+    none = F.array().cast("array<string>")
+    steps = F.aggregate(
+        F.filter(F.split(c, "/"), lambda x: ~x.isin("", ".")),
+        none,
+        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)),
+    )
+    return F.when(c.startswith("/"), F.concat(F.lit("/"), F.array_join(steps, "/")))
+
+
+def path_allowed(root: Column, path: Column) -> Column:
+    """POL6 by the paths' text: equal to the root or below it; false for a relative or null path. Links of the file
+    system are not followed."""
+    r, p = normal_path(root), normal_path(path)
+    return F.coalesce((r == "/") | (r == p) | p.startswith(F.concat(r, F.lit("/"))), F.lit(False)) & p.isNotNull()
+
+
+def session_agent_id(session: Column) -> Column:
+    """FN7: an agent id made from a session's id, so that a retried task makes the same one."""
+    return F.concat(F.lit("a"), F.substring(F.sha2(session, 256), 1, 16))
+
+
+def stamp(time: Column) -> Column:
+    """FN12: YYYYMMDDTHHMMSSffffffZ of a UTC time."""
+    return F.date_format(time, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+
+
+def basename(path: Column) -> Column:
+    """FN10: the last step of a path."""
+    return F.regexp_extract(path, "([^/]*)/*$", 1)
+
+
 def safe_ref(c: Column) -> Column:
     """FLT15, FLT16: a reference that stays in its folder by its text: an identifier of 512 bytes, relative, and at
     no point above its start. Links of the file system are not followed."""

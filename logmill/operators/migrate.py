@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmill.errors import LogError
+from logmill.functions.rules import SELECTOR, SELECTOR_CHARS
 from logmill.plans.skew import join_one
 from logmill.sources.views import REMOVED_ROLES, ROLES
 
@@ -70,6 +73,16 @@ def from_events(events: DataFrame, messages: DataFrame) -> DataFrame:
     return join_one(made, messages.select("seq").distinct(), ["seq"], "left_anti")
 
 
+def old_catalog(catalog: dict, defaults: dict[str, str]) -> dict:
+    """MIG7: a version-3 catalog becomes the defaults of this version, if it has exactly the eight old roles and
+    good selectors; anything else is refused. A catalog is one small document of the driver."""
+    models = catalog.get("models")
+    good = catalog.get("schema_version") == 3 and isinstance(models, dict) and set(models) == {*REMOVED_ROLES, "scout"}
+    if not good or not all(isinstance(m, str) and len(m) <= SELECTOR_CHARS and re.fullmatch(SELECTOR[2:-2], m) for m in models.values()):
+        raise LogError("the version 3 catalog is not valid")
+    return {"schema_version": VERSION, "models": dict(defaults)}
+
+
 def legacy_catalog(entries: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """MIG8: (role, selector) of an older catalog: a string, or the first of its ``models``, or the default.
 

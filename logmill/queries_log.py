@@ -18,11 +18,11 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, views: bool = True):
+def query(sql: str | None = None, views: bool = True, name: str = ""):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = (SQL_VIEWS if views else "") + sql
+            SQL[name or f.__name__] = (SQL_VIEWS if views else "") + sql
         return f
 
     return add
@@ -416,6 +416,24 @@ def ref_safe(s, d):
     return s.createDataFrame([r[:1] for r in REFS], "ref string").select("ref", R.safe_ref(F.col("ref")).alias("safe"))
 
 
+PATHS = [("/srv/src", "/srv/src", True), ("/srv/src", "/srv/src/a/b", True), ("/srv/src", "/srv/srcs", False), ("/srv/src", "/srv/src/../x", False), ("/srv/./src/", "/srv//src/a", True), ("/", "/x", True), ("/srv", "srv/x", False), ("/srv", "/../srv/x", True), ("/srv", None, False)]
+
+
+@query("SELECT root, path, allowed FROM " + _values(PATHS, "root, path, allowed"), views=False)
+def path_allowed(s, d):
+    return s.createDataFrame([p[:2] for p in PATHS], "root string, path string").select("root", "path", R.path_allowed(F.col("root"), F.col("path")).alias("allowed"))
+
+
+@query("SELECT seq, 'a' || substr(sha256(session_id), 1, 16) AS agent_id FROM exports WHERE session_id IS NOT NULL")
+def session_ids(s, d):
+    return exports(table(s, d, "participants")).filter("session_id is not null").select("seq", R.session_agent_id(F.col("session_id")).alias("agent_id"))
+
+
+@query("SELECT purge_id, strftime(purged_at, '%Y%m%dT%H%M%S%fZ') AS stamp FROM purges", views=False)
+def utc_stamps(s, d):
+    return table(s, d, "purges").select("purge_id", R.stamp(F.col("purged_at")).alias("stamp"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents WHERE text IS NOT NULL", views=False)
 def artifact_digest(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
@@ -610,7 +628,7 @@ def _states(s, d):
     return per.filter("planned").select("path", F.col("reply").alias("digest")), per.filter("ask is not null").select("path", F.col("ask").alias("digest"))
 
 
-@query(STATES + "SELECT path, action, action IN ('update', 'delete') AS conflict FROM diff")
+@query(STATES + "SELECT path, action, action IN ('update', 'delete') AS conflict FROM diff", name="reconcile")
 def reconcile_plan(s, d):
     return reconcile.diff(*_states(s, d)).select("path", "action", "conflict")
 
@@ -646,9 +664,9 @@ def audit_block(s, d):
     return audit.blocks(_log(s, d))
 
 
-@query("SELECT seq, engagement FROM log WHERE seq > 100 AND seq <= 1000000000000")
+@query("SELECT seq, engagement FROM log WHERE seq > 0 AND seq <= 1000000000000")
 def audit_range(s, d):
-    return audit.between(_log(s, d), 100, 1_000_000_000_000).select("seq", "engagement")
+    return audit.between(_log(s, d), 0, 1_000_000_000_000).select("seq", "engagement")
 
 
 @query("SELECT engagement, count(*) AS projected, max(seq) AS cursor FROM log GROUP BY engagement")

@@ -128,6 +128,14 @@ def test_migrations(spark):
     assert made == {7: ("ask", '{"ask":"q","summary":"s"}'), 8: ("close", '{"close":null,"summary":"s"}')}
 
 
+def test_old_catalogs():
+    old = {"schema_version": 3, "models": {r: "a/b:low" for r in ("planner", "finder", "verifier", "exploiter", "skeptic", "reviewer", "tester", "scout")}}
+    assert migrate.old_catalog(old, {"scout": "c/d"}) == {"schema_version": 4, "models": {"scout": "c/d"}}
+    for bad in ({**old, "schema_version": 4}, {**old, "models": {**old["models"], "scout": "bad\n"}}, {**old, "models": {"scout": "a/b"}}, {}):
+        with pytest.raises(LogError):
+            migrate.old_catalog(bad, {})
+
+
 def test_reconcile(spark):
     want = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None), ("d", None), ("n", "9")], "path string, digest string")
     have = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "3"), ("z", "0")], "path string, digest string")
