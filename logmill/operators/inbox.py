@@ -145,9 +145,9 @@ def snapshot(engagements: DataFrame, members: DataFrame) -> DataFrame:
 def render(members: DataFrame, columns: list[str]) -> DataFrame:
     """PRO5, AGG5: (engagement, seq, line): columns padded to the widest value of the whole table, right-stripped.
 
-    The widths are scalar subqueries over one aggregate each; no row meets another.
+    The widths are one scalar subquery over one aggregate; no row meets another.
     """
     cells = {c: F.coalesce(F.col(c), F.lit("-")) for c in columns}
-    widths = {c: members.agg(F.max(F.greatest(F.length(cells[c]), F.lit(len(c)))).alias("w")).scalar() for c in columns}
+    widths = members.agg(F.struct(*[F.max(F.greatest(F.length(cells[c]), F.lit(len(c)))).alias(c) for c in columns]).alias("w")).scalar()
     line = F.concat_ws("  ", *[F.rpad(cells[c], widths[c], F.lit(" ")) for c in columns])
     return members.select("engagement", "seq", F.rtrim(line).alias("line"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions import rules as R
 from logmill.plans.skew import first_by, join_one
-from logmill.sources.views import LOG, MAIN, ROLES
+from logmill.sources.views import MAIN, ROLES
 
 #: The fields that make two messages with one key the same message (IDM2, IDM3).
 CONTENT = ["sender", "recipient", "kind", "reply_to", "data_json", "evidence_json", "role", "model"]
@@ -19,7 +19,7 @@ def first_wins(log: DataFrame) -> DataFrame:
     Null keys are no equals, so they are kept apart instead of meeting in one group.
     """
     keyed = log.filter("dedup_key is not null and sender is not null")
-    rest = [c for c in ["seq", *LOG] if c not in ("sender", "dedup_key")]
+    rest = [c for c in log.columns if c not in ("sender", "dedup_key")]
     return first_by(keyed, ["sender", "dedup_key"], ["seq"], rest).unionByName(log.filter("dedup_key is null or sender is null").select(*["sender", "dedup_key"], *rest))
 
 

@@ -28,12 +28,18 @@ def query(sql: str | None = None, views: bool = True, name: str = ""):
     return add
 
 
-def _log(s: SparkSession, d: str) -> DataFrame:
-    return log(table(s, d, "messages"))
+def _log(s: SparkSession, d: str, *names: str) -> DataFrame:
+    return log(table(s, d, "messages"), *names)
 
 
-def _members(s: SparkSession, d: str) -> DataFrame:
-    return members(table(s, d, "participants"))
+def _members(s: SparkSession, d: str, *names: str) -> DataFrame:
+    return members(table(s, d, "participants"), *names)
+
+
+_BODY = ("engagement", "sender", "recipient", "kind", "reply_to", "data_json", "evidence_json")
+_ADDRESS = ("engagement", "recipient", "archived")
+_THREAD = ("engagement", "reply_to", "sender", "recipient", "archived")
+_AGENT = ("engagement", "role")
 
 
 def _quote(v: object) -> str:
@@ -60,7 +66,7 @@ FIRSTS = """, firsts AS (
 
 @query(FIRSTS + "SELECT seq, sender, recipient, kind, dedup_key FROM firsts WHERE seq = first_seq UNION ALL SELECT seq, sender, recipient, kind, dedup_key FROM log WHERE dedup_key IS NULL OR sender IS NULL")
 def ingest_first_wins(s, d):
-    return ingest.first_wins(_log(s, d)).select("seq", "sender", "recipient", "kind", "dedup_key")
+    return ingest.first_wins(_log(s, d, "sender", "recipient", "kind", "dedup_key")).select("seq", "sender", "recipient", "kind", "dedup_key")
 
 
 _SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ingest.CONTENT)
@@ -68,7 +74,7 @@ _SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ingest.CONTENT
 
 @query(FIRSTS + f"SELECT a.seq, a.first_seq, ({_SAME}) AS duplicate, NOT ({_SAME}) AS conflict FROM firsts a JOIN log b ON b.seq = a.first_seq WHERE a.seq > a.first_seq")
 def ingest_conflicts(s, d):
-    return ingest.repeats(_log(s, d))
+    return ingest.repeats(_log(s, d, *ingest.CONTENT, "dedup_key"))
 
 
 @query(
@@ -85,7 +91,7 @@ SELECT seq, concat_ws(',',
   CASE WHEN kind = 'reply' AND reply_to IS NULL THEN 'reply_missing' END) AS violations FROM j"""
 )
 def message_violations(s, d):
-    return ingest.violations(_log(s, d))
+    return ingest.violations(_log(s, d, "kind", "data_json", "evidence_json", "dedup_key", "reply_to"))
 
 
 CURRENT = """, known AS (SELECT * FROM members WHERE role IN ('investigator', 'scout', 'analyst', 'main') AND regexp_matches(agent_id, '^a[0-9a-f]{1,16}$'))
@@ -100,12 +106,12 @@ TOPICS = "('@investigator', '@scout', '@analyst', '@main')"
 FROM log l LEFT JOIN known a ON a.engagement = l.engagement AND a.agent_id = l.sender LEFT JOIN known b ON b.engagement = l.engagement AND b.agent_id = l.recipient"""
 )
 def send_authority(s, d):
-    return ingest.authority(_log(s, d), _members(s, d))
+    return ingest.authority(_log(s, d, "engagement", "sender", "recipient", "model"), _members(s, d, *_AGENT, "model"))
 
 
 @query("SELECT a.seq, a.reply_to, b.sender AS original_sender, b.recipient AS original_recipient FROM log a JOIN log b ON b.engagement = a.engagement AND b.seq = a.reply_to")
 def reply_threads(s, d):
-    return ingest.threads(_log(s, d)).filter("original_archived is not null").select("seq", "reply_to", "original_sender", "original_recipient")
+    return ingest.threads(_log(s, d, *_THREAD)).filter("original_archived is not null").select("seq", "reply_to", "original_sender", "original_recipient")
 
 
 @query(
@@ -116,7 +122,7 @@ FROM log a LEFT JOIN log b ON b.engagement = a.engagement AND b.seq = a.reply_to
 WHERE a.reply_to IS NOT NULL"""
 )
 def reply_valid(s, d):
-    return ingest.reply_verdicts(_log(s, d), _members(s, d))
+    return ingest.reply_verdicts(_log(s, d, *_THREAD), _members(s, d, *_AGENT))
 
 
 @query(
@@ -125,7 +131,7 @@ def reply_valid(s, d):
 FROM members WHERE parent IS NOT NULL"""
 )
 def register_events(s, d):
-    return ingest.start_events(_members(s, d))
+    return ingest.start_events(_members(s, d, "parent", "role", "model", "model_source"))
 
 
 _IDENTITY = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("name", "role", "model", "parent", "model_source"))
@@ -133,12 +139,12 @@ _IDENTITY = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("name", "
 
 @query(f", f AS (SELECT *, min(seq) OVER (PARTITION BY session_id) AS first_seq FROM exports WHERE session_id IS NOT NULL) SELECT a.seq, a.session_id, a.first_seq FROM f a JOIN exports b ON b.seq = a.first_seq WHERE a.seq > a.first_seq AND NOT ({_IDENTITY})")
 def registration_conflicts(s, d):
-    return ingest.refused_registrations(exports(table(s, d, "participants")))
+    return ingest.refused_registrations(exports(table(s, d, "participants"), "session_id", "name", "role", "model", "parent", "model_source"))
 
 
 @query("SELECT l.sender, min(l.seq) AS seq, 'completion:' || l.sender AS dedup_key FROM log l JOIN members m ON m.engagement = l.engagement AND m.agent_id = l.sender AND m.parent = l.recipient WHERE l.kind = 'close' GROUP BY l.sender")
 def completion_once(s, d):
-    return ingest.completions(_log(s, d), _members(s, d))
+    return ingest.completions(_log(s, d, "engagement", "sender", "recipient", "kind"), _members(s, d, "engagement", "parent"))
 
 
 # --- routing --------------------------------------------------------------------------------------------------------
@@ -153,12 +159,12 @@ FANOUT = (
 
 @query(FANOUT + "SELECT engagement, agent_id, seq FROM fan")
 def inbox_fanout(s, d):
-    return inbox.fanout(_log(s, d), _members(s, d))
+    return inbox.fanout(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT))
 
 
 @query(FANOUT + ", n AS (SELECT seq, count(*) AS n FROM fan GROUP BY seq) SELECT l.seq, coalesce(n.n, 0) AS receivers FROM log l LEFT JOIN n ON n.seq = l.seq")
 def can_receive(s, d):
-    return inbox.receivers(_log(s, d), _members(s, d))
+    return inbox.receivers(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT))
 
 
 ENVELOPE = """, refs AS (
@@ -179,7 +185,7 @@ sized AS (
 
 @query(ENVELOPE + "SELECT seq, envelope, CAST(bytes AS INT) AS bytes, CAST(delivered_bytes AS INT) AS delivered_bytes FROM sized")
 def envelope(s, d):
-    return inbox.envelopes(_log(s, d))
+    return inbox.envelopes(_log(s, d, *_BODY))
 
 
 PAGE = (
@@ -195,7 +201,7 @@ page AS (SELECT *, total <= 8192 AND position <= 32 AS ok FROM few WHERE positio
 
 @query(PAGE + "SELECT engagement, agent_id, CAST(position AS INT) AS position, seq, CAST(delivered_bytes AS INT) AS delivered_bytes FROM page WHERE ok")
 def inbox_page(s, d):
-    return inbox.pages(_log(s, d), _members(s, d))
+    return inbox.pages(_log(s, d, *_BODY, "archived"), _members(s, d, *_AGENT))
 
 
 @query(
@@ -207,12 +213,12 @@ SELECT k.engagement, k.agent_id, coalesce(g.delivered, 0) AS delivered, coalesce
 FROM known k LEFT JOIN got g ON g.engagement = k.engagement AND g.agent_id = k.agent_id LEFT JOIN hw ON hw.engagement = k.engagement"""
 )
 def inbox_cursor(s, d):
-    return inbox.cursors(_log(s, d), _members(s, d))
+    return inbox.cursors(_log(s, d, *_BODY, "archived"), _members(s, d, *_AGENT))
 
 
 @query("SELECT engagement, max(seq) AS high_water FROM log GROUP BY engagement")
 def high_water(s, d):
-    return inbox.high_water(_log(s, d))
+    return inbox.high_water(_log(s, d, "engagement"))
 
 
 @query(
@@ -220,7 +226,7 @@ def high_water(s, d):
 SELECT engagement, seq, agent_id AS id, name, role, model, model_source, parent, max(back) OVER (PARTITION BY engagement) > 32 AS more FROM back QUALIFY back <= 32"""
 )
 def roster_tail(s, d):
-    return inbox.roster(_members(s, d))
+    return inbox.roster(_members(s, d, *_AGENT, "name", "model", "model_source", "parent"))
 
 
 @query(
@@ -228,17 +234,17 @@ def roster_tail(s, d):
   ELSE CAST(json_object('agent', agent_id, 'model', model, 'model_source', model_source, 'parent', parent, 'role', role) AS VARCHAR) END AS info FROM members"""
 )
 def participant_info(s, d):
-    return inbox.info(_members(s, d))
+    return inbox.info(_members(s, d, "role", "model", "model_source", "parent"))
 
 
 @query(CURRENT + "SELECT agent_id, engagement FROM known")
 def known_agents(s, d):
-    return inbox.known(_members(s, d)).select("agent_id", "engagement")
+    return inbox.known(_members(s, d, *_AGENT)).select("agent_id", "engagement")
 
 
 @query("SELECT m.agent_id, m.parent FROM members m LEFT JOIN members p ON p.engagement = m.engagement AND p.agent_id = m.parent WHERE m.parent IS NOT NULL AND p.agent_id IS NULL")
 def orphan_parents(s, d):
-    m = _members(s, d)
+    m = _members(s, d, "engagement", "parent")
     known = m.select("engagement", F.col("agent_id").alias("parent"))
     return join_one(m.filter("parent is not null"), known, ["engagement", "parent"], "left_anti").select("agent_id", "parent")
 
@@ -249,7 +255,7 @@ g AS (SELECT engagement, string_agg(agent_id, ',' ORDER BY seq) FILTER (WHERE ba
 SELECT e.engagement, e.program, e.mode, coalesce(g.ids, '') AS participants, coalesce(g.more, false) AS more FROM engagements e LEFT JOIN g ON g.engagement = e.engagement"""
 )
 def show_state(s, d):
-    return inbox.snapshot(table(s, d, "engagements"), _members(s, d))
+    return inbox.snapshot(table(s, d, "engagements"), _members(s, d, *_AGENT, "name", "model", "model_source", "parent"))
 
 
 _TABLE = ["agent_id", "name", "role", "model", "model_source", "parent"]
@@ -259,7 +265,7 @@ _LINE = " || '  ' || ".join(f"rpad(coalesce({c}, '-'), CAST(w_{c} AS INT), ' ')"
 
 @query(f", w AS (SELECT {_PAD} FROM members) SELECT engagement, seq, rtrim({_LINE}) AS line FROM members, w")
 def render_table(s, d):
-    return inbox.render(_members(s, d), _TABLE)
+    return inbox.render(_members(s, d, "engagement", *_TABLE[1:]), _TABLE)
 
 
 # --- scalars and policy -----------------------------------------------------------------------------------------------
@@ -269,7 +275,7 @@ NAMES = [("plain",), (" padded ",), ("",), ("   ",), ("a|b",), ("line\nbreak",),
 
 @query(f", v AS (SELECT DISTINCT name AS value FROM exports UNION SELECT value FROM {_values(NAMES, 'value')}) SELECT value, coalesce(trim(value) <> '' AND strlen(value) <= 256 AND NOT regexp_matches(value, '[\\r\\n|]'), false) AS valid, trim(value) AS stripped FROM v")
 def valid_identifier(s, d):
-    values = exports(table(s, d, "participants")).select(F.col("name").alias("value")).union(s.createDataFrame(NAMES, "value string")).distinct()
+    values = exports(table(s, d, "participants"), "name").select(F.col("name").alias("value")).union(s.createDataFrame(NAMES, "value string")).distinct()
     return values.select("value", R.valid_identifier(F.col("value")).alias("valid"), R.strip(F.col("value")).alias("stripped"))
 
 
@@ -279,7 +285,7 @@ _SELECTOR = "[A-Za-z0-9][A-Za-z0-9._-]*"
 
 
 def _models(s, d):
-    return exports(table(s, d, "participants")).select(F.col("model").alias("selector")).union(s.createDataFrame(SELECTORS, "selector string")).distinct()
+    return exports(table(s, d, "participants"), "model").select(F.col("model").alias("selector")).union(s.createDataFrame(SELECTORS, "selector string")).distinct()
 
 
 @query(MODELS + f"SELECT selector, coalesce(regexp_full_match(selector, '{_SELECTOR}(?:/{_SELECTOR})+(?::{_SELECTOR})?') AND length(selector) <= 256, false) AS valid FROM v")
@@ -400,12 +406,12 @@ FROM targets t JOIN g q ON q.url = t.url LEFT JOIN own o ON o.engagement = t.eng
 WHERE t.url IS NOT NULL GROUP BY ALL"""
 )
 def url_allowed(s, d):
-    return scope.allowed(table(s, d, "engagements"), scope.target_urls(_log(s, d)))
+    return scope.allowed(table(s, d, "engagements"), scope.target_urls(_log(s, d, "engagement", "data_json")))
 
 
 @query(URL_TARGETS + "SELECT q.scheme, q.host, coalesce(try_cast(q.port AS INT), -1) AS port, count(*) AS urls FROM targets t JOIN g q ON q.url = t.url WHERE q.reason IS NULL GROUP BY ALL")
 def origin_counts(s, d):
-    return scope.origins(scope.target_urls(_log(s, d)))
+    return scope.origins(scope.target_urls(_log(s, d, "engagement", "data_json")))
 
 
 REFS = [("notes/a.txt", True), ("a/../b", True), ("../x", False), ("a/../../x", False), ("/etc/x", False), ("", False), ("a|b", False), ("./a/./b", True), ("a//b", True), ("x" * 513, False), (None, False)]
@@ -426,7 +432,7 @@ def path_allowed(s, d):
 
 @query("SELECT seq, 'a' || substr(sha256(session_id), 1, 16) AS agent_id FROM exports WHERE session_id IS NOT NULL")
 def session_ids(s, d):
-    return exports(table(s, d, "participants")).filter("session_id is not null").select("seq", R.session_agent_id(F.col("session_id")).alias("agent_id"))
+    return exports(table(s, d, "participants"), "session_id").filter("session_id is not null").select("seq", R.session_agent_id(F.col("session_id")).alias("agent_id"))
 
 
 @query("SELECT purge_id, strftime(purged_at, '%Y%m%dT%H%M%S%fZ') AS stamp FROM purges", views=False)
@@ -452,7 +458,7 @@ def roles_changed(s, d):
 @query("SELECT m.agent_id, c.model AS selector FROM members m JOIN " + _values(CONFIGURED, "role, model").replace(" t(", " c(") + " ON c.role = m.role")
 def dispatch_lookup(s, d):
     models = F.create_map(*[F.lit(x) for r in CONFIGURED for x in r])
-    return _members(s, d).select("agent_id", F.element_at(models, F.col("role")).alias("selector")).filter("selector is not null")
+    return _members(s, d, "role").select("agent_id", F.element_at(models, F.col("role")).alias("selector")).filter("selector is not null")
 
 
 CATALOGS = [(1, 4, ["investigator", "scout", "analyst"], ["a/b", "a/c:low", "a/d"], True), (2, 3, ["investigator", "scout", "analyst"], ["a/b", "a/c", "a/d"], False), (3, 4, ["scout", "analyst"], ["a/b", "a/c"], False), (4, 4, ["investigator", "scout", "analyst"], ["a/b", "bad", "a/d"], False), (5, None, [], [], False)]
@@ -474,7 +480,7 @@ def legacy_catalog(s, d):
 
 @query("SELECT DISTINCT engagement, topic FROM engagements, unnest(['@investigator', '@scout', '@analyst', '@main']) t(topic) WHERE topic NOT IN (SELECT recipient FROM log l WHERE l.engagement = engagements.engagement)")
 def missing_required(s, d):
-    used = _log(s, d).filter(F.col("recipient").startswith("@")).groupBy("engagement").agg(F.collect_set("recipient").alias("used"))
+    used = _log(s, d, "engagement", "recipient").filter(F.col("recipient").startswith("@")).groupBy("engagement").agg(F.collect_set("recipient").alias("used"))
     topics = F.array(*[F.lit(f"@{r}") for r in ("investigator", "scout", "analyst", "main")])
     both = table(s, d, "engagements").select("engagement").distinct().join(used, "engagement", "left")
     return both.select("engagement", F.explode(frames.missing(topics, F.coalesce("used", F.array().cast("array<string>")))).alias("topic"))
@@ -495,7 +501,7 @@ def rpc_valid(s, d):
 
 @query("SELECT seq AS id, 'message' AS command FROM log WHERE sender IS NOT NULL AND recipient IS NOT NULL AND kind IS NOT NULL")
 def rpc_frames(s, d):
-    made = _log(s, d).filter("sender is not null and recipient is not null and kind is not null").select(F.to_json(F.struct(F.col("seq").alias("id"), F.array(F.lit("message"), F.lit("--sender"), "sender", F.lit("--to"), "recipient", F.lit("--kind"), "kind").alias("args"))).alias("frame"))
+    made = _log(s, d, "sender", "recipient", "kind").filter("sender is not null and recipient is not null and kind is not null").select(F.to_json(F.struct(F.col("seq").alias("id"), F.array(F.lit("message"), F.lit("--sender"), "sender", F.lit("--to"), "recipient", F.lit("--kind"), "kind").alias("args"))).alias("frame"))
     return frames.requests(made).filter("problem is null").select("id", "command")
 
 
@@ -516,7 +522,7 @@ def rpc_reply_valid(s, d):
     + """SELECT engagement, agent_id, count(*) AS delivered, true AS valid FROM page WHERE ok GROUP BY ALL"""
 )
 def page_valid(s, d):
-    got = inbox.pages(_log(s, d), _members(s, d)).groupBy("engagement", "agent_id").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
+    got = inbox.pages(_log(s, d, *_BODY, "archived"), _members(s, d, *_AGENT)).groupBy("engagement", "agent_id").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
     rows = got.select("*", F.lit(0).cast("long").alias("after"), F.array_max("seqs").alias("cursor"), F.lit(False).alias("more"))
     return frames.page_problems(rows).select("engagement", "agent_id", F.size("seqs").cast("long").alias("delivered"), "valid")
 
@@ -552,7 +558,7 @@ def text_content(s, d):
 @query("SELECT sender AS session, CASE WHEN arg_max(kind, seq) FILTER (WHERE kind <> 'event') = 'close' THEN 'failed' ELSE 'completed' END AS status FROM log WHERE sender IS NOT NULL GROUP BY sender")
 def completion_status(s, d):
     reason = F.when(F.col("kind") == "close", "error").otherwise("stop")
-    entries = _log(s, d).filter("sender is not null").select(F.col("sender").alias("session"), F.col("seq").alias("position"), F.when(F.col("kind") != "event", "assistant").otherwise("user").alias("role"), reason.alias("stop_reason"))
+    entries = _log(s, d, "sender", "kind").filter("sender is not null").select(F.col("sender").alias("session"), F.col("seq").alias("position"), F.when(F.col("kind") != "event", "assistant").otherwise("user").alias("role"), reason.alias("stop_reason"))
     return frames.completion_status(entries)
 
 
@@ -561,13 +567,13 @@ def completion_status(s, d):
 
 @query("SELECT seq, NULL::VARCHAR AS agent_id, NULL::VARCHAR AS parent, 'asserted' AS model_source FROM exports")
 def migrate_columns(s, d):
-    old = exports(table(s, d, "participants")).select("seq", "session_id", "name", "role", "model", "created_at")
+    old = exports(table(s, d, "participants"), "session_id", "name", "role", "model", "created_at").select("seq", "session_id", "name", "role", "model", "created_at")
     return migrate.add_columns(old, "participants").select("seq", "agent_id", "parent", "model_source")
 
 
 @query("SELECT seq, 'a' || printf('%x', seq) AS agent_id FROM exports")
 def migrate_ids(s, d):
-    return migrate.fill_ids(migrate.add_columns(exports(table(s, d, "participants")).drop("agent_id"), "participants")).select("seq", "agent_id")
+    return migrate.fill_ids(migrate.add_columns(exports(table(s, d, "participants"), "session_id"), "participants")).select("seq", "agent_id")
 
 
 _OLD_ROLE = "CASE role WHEN 'scout' THEN 'recon' WHEN 'analyst' THEN 'verdict' WHEN 'investigator' THEN 'discover' ELSE role END"
@@ -579,7 +585,7 @@ def migrate_roles(s, d):
     older = {"scout": "recon", "analyst": "verdict", "investigator": "discover"}
     names = {**older, **{f"@{a}": f"@{b}" for a, b in older.items()}}
     m = F.create_map(*[F.lit(x) for p in names.items() for x in p])
-    old = _log(s, d).select("seq", F.coalesce(m[F.col("role")], "role").alias("role"), F.coalesce(m[F.col("recipient")], "recipient").alias("recipient"))
+    old = _log(s, d, "role", "recipient").select("seq", F.coalesce(m[F.col("role")], "role").alias("role"), F.coalesce(m[F.col("recipient")], "recipient").alias("recipient"))
     return migrate.rename_roles(old)
 
 
@@ -588,7 +594,7 @@ _REMOVED = ", ".join(_quote(t) for t in migrate.REMOVED_TOPICS)
 
 @query(f"SELECT seq, CASE WHEN kind = 'event' OR recipient IN ({_REMOVED}) THEN 1 ELSE archived END AS archived FROM log")
 def migrate_archive(s, d):
-    return migrate.archive(_log(s, d)).select("seq", "archived")
+    return migrate.archive(_log(s, d, "kind", "recipient", "archived")).select("seq", "archived")
 
 
 @query(
@@ -600,7 +606,7 @@ def migrate_v1(s, d):
     asked = F.col("event_type").isin("view", "click")
     e = table(s, d, "events")
     old = e.select((F.col("event_id") + 1).alias("seq"), F.col("event_type").alias("role"), F.lit("m").alias("model"), F.col("props").alias("summary"), F.when(asked, F.col("event_type")).alias("ask"), F.when(~asked, F.col("event_type")).alias("close"), F.lit("[]").alias("evidence_json"), F.col("ts").cast("string").alias("created_at"))
-    return migrate.from_events(old, _log(s, d)).select("seq", "sender", "recipient", "kind", "data_json", "archived")
+    return migrate.from_events(old, _log(s, d, "engagement")).select("seq", "sender", "recipient", "kind", "data_json", "archived")
 
 
 # --- reconciliation: files that asks and replies name as evidence ------------------------------------------------------------
@@ -621,7 +627,7 @@ diff AS (
 def _states(s, d):
     v = F.try_parse_json("evidence_json")
     listed = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)).otherwise(F.try_variant_get(v, "$", "array<variant>"))
-    refs = _log(s, d).select("kind", "engagement", F.explode(listed).alias("x"))
+    refs = _log(s, d, "kind", "engagement", "evidence_json").select("kind", "engagement", F.explode(listed).alias("x"))
     ref = F.try_variant_get("x", "$.ref", "string")
     rows = refs.filter(ref.isNotNull()).select("kind", F.concat_ws("/", "engagement", ref).alias("path"), F.try_variant_get("x", "$.sha256", "string").alias("digest"))
     per = rows.groupBy("path").agg(*[F.max(F.when(F.col("kind") == k, F.col("digest"))).alias(k) for k in ("ask", "reply")], F.bool_or(F.col("kind") == "reply").alias("planned"))
@@ -661,23 +667,23 @@ BLOCK = (
 
 @query(BLOCK + "SELECT engagement, seq, block FROM blocks")
 def audit_block(s, d):
-    return audit.blocks(_log(s, d))
+    return audit.blocks(_log(s, d, *_BODY, "created_at", "role", "model"))
 
 
 @query("SELECT seq, engagement FROM log WHERE seq > 0 AND seq <= 1000000000000")
 def audit_range(s, d):
-    return audit.between(_log(s, d), 0, 1_000_000_000_000).select("seq", "engagement")
+    return audit.between(_log(s, d, "engagement"), 0, 1_000_000_000_000).select("seq", "engagement")
 
 
 @query("SELECT engagement, count(*) AS projected, max(seq) AS cursor FROM log GROUP BY engagement")
 def audit_summary(s, d):
-    return audit.progress(_log(s, d))
+    return audit.progress(_log(s, d, "engagement"))
 
 
 @query(BLOCK + "SELECT engagement AS source, coalesce(max(seq) FILTER (WHERE NOT open), 0) AS cursor FROM (SELECT engagement, seq, seq = max(seq) OVER (PARTITION BY engagement) AS open FROM blocks) GROUP BY engagement")
 def audit_recover(s, d):
     """The audit texts with each engagement's last block cut off before its terminator."""
-    blocks = audit.blocks(_log(s, d))
+    blocks = audit.blocks(_log(s, d, *_BODY, "created_at", "role", "model"))
     last = blocks.groupBy("engagement").agg(F.max("seq").alias("last"))
     parts = blocks.join(last, "engagement").select("engagement", "seq", F.posexplode(F.split(F.when(F.col("seq") == F.col("last"), F.regexp_replace("block", r"(?s)\n(?:ASK|CLOSE): [^\n]*\n\n$", "\n")).otherwise(F.col("block")), "\n")).alias("n", "line"))
     lines = parts.select(F.col("engagement").alias("source"), (F.col("seq") * 1000 + F.col("n")).alias("line_no"), "line", F.lit(True).alias("ended"))
@@ -686,7 +692,7 @@ def audit_recover(s, d):
 
 def _checkpoints(s, d):
     """A checkpoint for every 32 messages that an agent received, each after the one before it."""
-    f = inbox.fanout(_log(s, d), _members(s, d))
+    f = inbox.fanout(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT))
     paged = rank_in_group(f, "agent_id", "seq", "n").groupBy("agent_id", F.floor((F.col("n") - 1) / R.PAGE_ROWS).alias("position")).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
     ends = paged.withColumn("cursor", F.array_max("seqs"))
     return previous_in_group(ends, "agent_id", "position", "cursor", "before").withColumn("after", F.coalesce("before", F.lit(0))).drop("before"), f
@@ -700,4 +706,4 @@ def cursor_recovery(s, d):
 
 @query(FANOUT + "SELECT agent_id, count(DISTINCT seq) AS delivered FROM fan GROUP BY agent_id")
 def delivered_set(s, d):
-    return inbox.fanout(_log(s, d), _members(s, d)).groupBy("agent_id").agg(F.countDistinct("seq").alias("delivered"))
+    return inbox.fanout(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT)).groupBy("agent_id").agg(F.countDistinct("seq").alias("delivered"))

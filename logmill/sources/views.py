@@ -15,52 +15,40 @@ MAIN = "main"
 REMOVED_ROLES = ["planner", "finder", "verifier", "exploiter", "skeptic", "reviewer", "tester"]
 
 
-def log(messages: DataFrame) -> DataFrame:
-    """One row a seq, the earliest to arrive: ids and kinds folded, archived 0 or 1, blank engagement ''.
+def log(messages: DataFrame, *names: str) -> DataFrame:
+    """One row a seq, the earliest to arrive: ids and kinds folded, archived 0 or 1, null engagement ''.
 
-    Rows without seq are left out; null values stay null; further columns are ignored.
+    ``names``: the columns wanted, all without any; only they are read and shuffled, so an operator that needs no
+    body moves none. Of exports that arrived at the same time the least by the wanted columns stays. Rows without
+    seq are left out; null values stay null; further columns are ignored.
     """
-    rows = messages.filter("seq is not null").select(
-        "seq",
-        "arrived_at",
-        text_key("sender").alias("sender"),
-        text_key("recipient").alias("recipient"),
-        text_key("kind").alias("kind"),
-        "reply_to",
-        "data_json",
-        "evidence_json",
-        "role",
-        "model",
-        "created_at",
-        "dedup_key",
-        F.coalesce("archived", F.lit(0)).alias("archived"),
-        F.coalesce("engagement", F.lit("")).alias("engagement"),
-    )
-    return first_by(rows, ["seq"], ["arrived_at"], LOG)
+    made = {c: text_key(c) for c in ("sender", "recipient", "kind")} | {"archived": F.coalesce("archived", F.lit(0)), "engagement": F.coalesce("engagement", F.lit(""))}
+    wanted = list(names or LOG)
+    rows = messages.filter("seq is not null").select("seq", "arrived_at", *[made.get(c, F.col(c)).alias(c) for c in wanted])
+    return first_by(rows, ["seq"], ["arrived_at"], wanted)
 
 
-def exports(participants: DataFrame) -> DataFrame:
-    """One row a seq, the earliest to arrive: every registration, refused ones too."""
+def exports(participants: DataFrame, *names: str) -> DataFrame:
+    """One row a seq, the earliest to arrive: every registration, refused ones too; ``names`` as in ``log``.
+
+    A blank parent is null, a blank model_source ``asserted``.
+    """
     parent, source = text_key("parent"), text_key("model_source")
-    rows = participants.filter("seq is not null").select(
-        "seq",
-        "arrived_at",
-        "session_id",
-        "name",
-        "role",
-        "model",
-        "created_at",
-        text_key("agent_id").alias("agent_id"),
-        F.when(parent != "", parent).alias("parent"),
-        F.coalesce(F.when(source != "", source), F.lit("asserted")).alias("model_source"),
-        F.coalesce("engagement", F.lit("")).alias("engagement"),
-    )
-    return first_by(rows, ["seq"], ["arrived_at"], ["session_id", "name", "role", "model", "created_at", "agent_id", "parent", "model_source", "engagement"])
+    made = {
+        "agent_id": text_key("agent_id"),
+        "parent": F.when(parent != "", parent),
+        "model_source": F.coalesce(F.when(source != "", source), F.lit("asserted")),
+        "engagement": F.coalesce("engagement", F.lit("")),
+    }
+    wanted = list(names or ["agent_id", *MEMBER[1:]])
+    rows = participants.filter("seq is not null").select("seq", "arrived_at", *[made.get(c, F.col(c)).alias(c) for c in wanted])
+    return first_by(rows, ["seq"], ["arrived_at"], wanted)
 
 
-def members(participants: DataFrame) -> DataFrame:
-    """One row an agent: its first registration (FLT2, IDM4)."""
-    return first_by(exports(participants).filter("agent_id <> ''"), ["agent_id"], ["seq"], MEMBER)
+def members(participants: DataFrame, *names: str) -> DataFrame:
+    """One row an agent: its first registration (FLT2, IDM4). ``names``: the columns wanted beside agent_id and seq."""
+    wanted = list(names or MEMBER[1:])
+    return first_by(exports(participants, "agent_id", *wanted).filter("agent_id <> ''"), ["agent_id"], ["seq"], ["seq", *wanted])
 
 
 SQL_VIEWS = """
