@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from logmill.plans.ship import ship
+
 #: Rows of one outgoing batch, so that a batch that explodes into many rows stays small.
 OUT_ROWS = 20_000
 
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, rows: Callable[..., Iterable[tuple]]) -> DataFrame:
     """Apply ``rows(*values)``, which yields output tuples, to each row's ``columns``, batch by batch."""
+    ship(df.sparkSession)
     out = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out)
 

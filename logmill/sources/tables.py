@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logmill.plans.ship import ship
+
 SCHEMAS: dict[str, str] = {
     "engagements": "engagement string, program string, authorization_basis string, mode string, assets array<string>, allowed_methods array<string>, max_requests bigint, interval_seconds double, created_at string",
     "participants": "seq bigint, session_id string, name string, role string, model string, created_at string, agent_id string, parent string, model_source string, engagement string, arrived_at timestamp_ntz",
@@ -22,6 +24,7 @@ def columns(name: str) -> dict[str, str]:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder, under its fixed schema where there is one."""
+    """A table of the folder, under its fixed schema where there is one; what reads it may run on the executors."""
+    ship(spark)
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     return reader.parquet(f"{folder}/{name}.parquet")

@@ -56,3 +56,23 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 def test_text_key(spark):
     df = spark.createDataFrame([("  ABC\t",), (None,), ("",)], "t string")
     assert [r[0] for r in df.select(skew.text_key("t")).collect()] == ["abc", None, ""]
+
+
+def test_executors_import_the_package_from_anywhere(small, tmp_path):
+    """A driver in another folder that alone knows where the package is."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from logmill.queries import QUERIES
+print("rows", QUERIES["p4_found"](spark, {small!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in out.stdout, out.stderr[-2000:]
