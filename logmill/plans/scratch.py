@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from logmill.errors import LogError
+from logmill.plans.ship import ship
 
 SETTING = "spark.checkpoint.dir"
 _local: list[str] = []
@@ -48,6 +49,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 

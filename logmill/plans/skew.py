@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logmill.plans.ship import ship
+
 #: A key with more rows than this is spread over SALTS tasks.
 HOT_ROWS = 200_000
 SALTS = 32
@@ -74,6 +76,7 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     Large tables have more splits than cores and pass unchanged, without a shuffle. ``scan`` must be a scan with
     projections and filters only: its partitions are counted without running anything.
     """
+    ship(scan.sparkSession)  # scans are spread for Python's sake
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores, key) if scan._jdf.rdd().getNumPartitions() * 2 <= cores else scan
 
