@@ -7,7 +7,7 @@ batches on the executors instead.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import xxhash
@@ -134,29 +134,45 @@ def clean(text: str) -> str:
         return text.encode("utf-8", "replace").decode("utf-8") if False else "".join("�" if 0xD800 <= ord(c) <= 0xDFFF else c for c in text)
 
 
-def records(root: Any, every_outer: bool) -> Iterator[tuple[str, str, str, Any]]:
+def records(root: Any, every_outer: bool, lone: Callable[[str], bool] | None = None) -> Iterator[tuple[str, str | None, str, Any]]:
     """(node_path, parent_path, record type, value) of each object that is an element of an array, at any depth.
 
     The record type is the path without positions. With ``every_outer``, each non-null element of the outer
     array counts, object or not, and a lone outer object is an array of one.
+
+    With ``lone``, no value is left without a record: the root counts unless it is an array or null (its parent is
+    None), so does an object under a key that ``lone`` accepts, and a non-null scalar element of an array that is not
+    a field of scalars only. The parent is the nearest of all these.
     """
     root = opened(root)
     if every_outer and isinstance(root, dict):
         root = [root]
     outer = every_outer and isinstance(root, list)
-    todo: list[tuple[Any, str, str, str, bool]] = [(root, "$", "$", "", outer)]
+    if lone and root is not None and not isinstance(root, list):
+        yield "$", None, "", root
+    todo: list[tuple[Any, str, str, str, bool, bool]] = [(root, "$", "$", "", outer, False)]
     while todo:
-        value, path, around, of, top = todo.pop()
+        value, path, around, of, top, is_field = todo.pop()
         if isinstance(value, dict):
             for k, v in value.items():
                 v = opened(v)
                 if isinstance(v, (dict, list)):
-                    todo.append((v, f"{path}.{k}", around, f"{of}.{k}" if of else k, False))
+                    at, kind = f"{path}.{k}", f"{of}.{k}" if of else k
+                    row = lone is not None and isinstance(v, dict) and lone(k)
+                    if row:
+                        yield at, around, kind, v
+                    todo.append((v, at, at if row else around, kind, False, True))
         elif isinstance(value, list):
+            scalars = lone is not None and not (is_field and is_flat(value))
             for i, v in enumerate(value):
                 v = opened(v)
-                at, row = f"{path}[{i}]", isinstance(v, dict) or (top and v is not None)
+                at, row = f"{path}[{i}]", isinstance(v, dict) or (v is not None and (top or (scalars and not isinstance(v, list))))
                 if row:
                     yield at, around, f"{of}[]", v
                 if isinstance(v, (dict, list)):
-                    todo.append((v, at, at if row else around, f"{of}[]", False))
+                    todo.append((v, at, at if row else around, f"{of}[]", False, False))
+
+
+def is_flat(values: list) -> bool:
+    """True for an array of scalars only."""
+    return not any(isinstance(opened(v), (dict, list)) for v in values)

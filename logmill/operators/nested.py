@@ -21,6 +21,9 @@ SUBTYPES: dict[str, dict[str, str]] = {
     "checks": {"name": "string", "ok": "boolean"},
     "anchors": {"ref": "string", "sha256": "string"},
     "spans": {"from": "bigint", "to": "bigint"},
+    "tasks": {"title": "string", "limits.max_requests": "bigint"},
+    "outcomes": {"status": "string"},
+    "bodies": {"summary": "string", "confidence": "string", "open": "array<string>", "ask": "string", "event": "string", "agent": "string", "role": "string", "model": "string", "model_source": "string"},
 }
 
 NODE = "seq bigint, field string, node_path string, parent_path string, record_type string, shape string"
@@ -31,7 +34,7 @@ def _once(messages: DataFrame) -> DataFrame:
     return first_by(rows, ["seq"], ["arrived_at"], ["data_json", "evidence_json"])
 
 
-def flatten(messages: DataFrame, values: bool = True) -> DataFrame:
+def flatten(messages: DataFrame, values: bool = True, whole: bool = False) -> DataFrame:
     """The supertype table: one row for each object that is an element of an array, at any depth.
 
     (seq, field, node_path, parent_path, record_type, shape[, fields]). node_path and parent_path are the keys that
@@ -42,33 +45,49 @@ def flatten(messages: DataFrame, values: bool = True) -> DataFrame:
     In evidence_json each non-null element of the outer array counts, and a lone outer object is an array of one.
     Rows with the same seq are one row. A null or invalid text, a text without arrays and an empty table give no
     rows; nothing is bounded by depth, length or number of elements.
+
+    With ``whole``, which the typed tables are made of, every value of a valid text is in some row: the body of
+    data_json (``bodies``, node_path ``$`` and no parent_path), each object under a key that names a subtype in
+    singular or plural, in an array or not, and each non-null scalar among an array's objects or arrays, under the
+    field ''. Other lone objects are dotted fields of the row around them. The parent is the nearest of all these.
     """
 
     def rows(seq: int, data: str | None, evidence: str | None):
         for field, text in (("data_json", data), ("evidence_json", evidence)):
-            if text is None or ("[" not in text and not (field == "evidence_json" and "{" in text)):
+            if text is None or (not whole and "[" not in text and not (field == "evidence_json" and "{" in text)):
                 continue
             root = J.read_open(text)
             if root is J.INVALID:
                 continue
-            for path, parent, of, value in J.records(root, field == "evidence_json"):
+            for path, parent, of, value in J.records(root, field == "evidence_json", _is_lone if whole else None):
                 kind = _record_type(of, field)
-                row = (seq, field, J.clean(path), J.clean(parent), J.clean(kind), J.state(value))
-                yield (*row, list(_fields(value).items())) if values else row
+                if whole:
+                    kind = "bodies" if parent is None and field == "data_json" else _plural(kind)
+                row = (seq, field, J.clean(path), parent if parent is None else J.clean(parent), J.clean(kind), J.state(value))
+                yield (*row, list(_fields(value, whole).items())) if values else row
 
     return map_rows(_once(messages), ["seq", "data_json", "evidence_json"], NODE + (", fields map<string,string>" if values else ""), rows)
 
 
+def _plural(name: str) -> str:
+    return f"{name}s" if name not in SUBTYPES and f"{name}s" in SUBTYPES else name
+
+
+def _is_lone(name: str) -> bool:
+    """Whether an object under this key is a record of its own outside an array, too."""
+    return _plural(name) in SUBTYPES
+
+
 def _record_type(of: str, field: str) -> str:
     """The field that holds the array; the outer array of evidence_json holds anchors."""
     name = of.replace("[]", "").rpartition(".")[2]
     return name or ("anchors" if field == "evidence_json" else "items")
 
 
-def _fields(value: object) -> dict[str, str | None]:
-    """Values by dotted name; arrays of scalars as JSON, arrays with objects left out."""
+def _fields(value: object, whole: bool = False) -> dict[str, str | None]:
+    """Values by dotted name; arrays of scalars as JSON, arrays with objects and, if ``whole``, lone records left out."""
     if not isinstance(value, dict):
-        return {"": J.text_of(value)}
+        return {"": J.text_of(value) if value is None else J.clean(J.text_of(value))}
     out: dict[str, str | None] = {}
     todo = [("", value)]
     while todo:
@@ -76,8 +95,9 @@ def _fields(value: object) -> dict[str, str | None]:
         for k, x in v.items():
             x, name = J.opened(x), J.clean(f"{at}{k}")
             if isinstance(x, dict):
-                todo.append((f"{name}.", x))
-            elif not (isinstance(x, list) and any(isinstance(J.opened(y), (dict, list)) for y in x)):
+                if not (whole and _is_lone(k)):
+                    todo.append((f"{name}.", x))
+            elif not (isinstance(x, list) and not J.is_flat(x)):
                 out[name] = J.clean(t) if (t := J.text_of(x)) is not None else None
     return out
 
@@ -100,7 +120,7 @@ def subtype(nodes: DataFrame, record_type: str) -> DataFrame:
     columns = SUBTYPES[record_type]
     typed = {n: _typed(n, t) for n, t in columns.items()}
     more = F.map_filter("fields", lambda k, v: ~F.when(k.isin(*columns), F.coalesce(*[F.when(k == n, c.isNotNull() | v.isNull()) for n, c in typed.items()])).otherwise(F.lit(False)))
-    return nodes.filter(F.col("record_type") == record_type).select("seq", "field", "node_path", "parent_path", "shape", *[c.alias(n) for n, c in typed.items()], more.alias("more"))
+    return nodes.filter(F.col("record_type") == record_type).select("seq", "field", "node_path", "parent_path", "shape", *[c.alias(n.replace(".", "_")) for n, c in typed.items()], more.alias("more"))
 
 
 def route(nodes: DataFrame) -> dict[str, DataFrame]:

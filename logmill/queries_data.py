@@ -46,13 +46,13 @@ def p4_found(s, d):
 
 
 def p4_shapes(s, d):
-    return nested.shapes(nested.flatten(table(s, d, "messages"), values=False))
+    return nested.shapes(nested.flatten(table(s, d, "messages"), values=False, whole=True))
 
 
 def _subtype(name: str):
     def query(s, d):
         more = F.array_sort(F.map_entries("more"))
-        return nested.subtype(nested.flatten(table(s, d, "messages")), name).withColumn("more", F.to_json(F.map_from_entries(more)))
+        return nested.subtype(nested.flatten(table(s, d, "messages"), whole=True), name).withColumn("more", F.to_json(F.map_from_entries(more)))
 
     return query
 

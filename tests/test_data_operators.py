@@ -145,6 +145,27 @@ def test_subtypes_keep_links_and_what_does_not_fit(spark):
     assert sum(df.count() for df in nested.route(n).values()) == n.count()
 
 
+def test_typed_tables_hold_what_stands_outside_arrays(spark):
+    data = {"summary": "s", "confidence": 0.5, "open": ["q"], "task": {"title": "t", "limits": {"max_requests": 9, "windows": [{"from": 1, "to": 2}]}}, "outcome": json.dumps({"status": "done"}), "finding": {"id": "L", "steps": [{"n": 1}]}, "findings": [{"id": "F"}, "only text", [["deep text", None]]]}
+    evidence = ["notes/a.txt", None, {"ref": "r"}]
+    n = nested.flatten(frame(spark, "messages", [message(1, data_json=json.dumps(data), evidence_json=json.dumps(evidence)), message(2, data_json='"lone"', evidence_json='"lone.txt"'), message(3, data_json="null", evidence_json="{")]), whole=True)
+    rows = {(r.seq, r.field, r.node_path): r for r in n.collect()}
+    assert {(seq, p, r.parent_path, r.record_type) for (seq, f, p), r in rows.items() if f == "data_json"} == {
+        (1, "$", None, "bodies"), (1, "$.task", "$", "tasks"), (1, "$.task.limits.windows[0]", "$.task", "windows"), (1, "$.outcome", "$", "outcomes"), (1, "$.finding", "$", "findings"),
+        (1, "$.finding.steps[0]", "$.finding", "steps"), (1, "$.findings[0]", "$", "findings"), (1, "$.findings[1]", "$", "findings"), (1, "$.findings[2][0][0]", "$", "findings"), (2, "$", None, "bodies"),
+    }
+    assert {(seq, p) for seq, f, p in rows if f == "evidence_json"} == {(1, "$[0]"), (1, "$[2]"), (2, "$")}
+    tables = {k: {(r.seq, r.node_path): r for r in df.collect()} for k, df in nested.route(n).items() if k in ("bodies", "tasks", "outcomes", "findings", "anchors", "")}
+    assert not tables[""]
+    body, task = tables["bodies"][1, "$"], tables["tasks"][1, "$.task"]
+    assert (body.summary, body.confidence, body.open, body.more) == ("s", "0.5", ["q"], {}) and tables["bodies"][2, "$"].more == {"": "lone"}
+    assert (task.title, task.limits_max_requests, task.more) == ("t", 9, {}) and tables["outcomes"][1, "$.outcome"].status == "done"
+    found = tables["findings"]
+    assert found[1, "$.finding"].id == "L" and found[1, "$.findings[1]"].more == {"": "only text"} and found[1, "$.findings[2][0][0]"].more == {"": "deep text"}
+    assert tables["anchors"][2, "$"].more == {"": "lone.txt"}
+    assert {"p4_tasks", "p4_outcomes", "p4_bodies"} <= set(QUERIES)
+
+
 def test_states_of_the_tree_automaton():
     assert J.state({"a": 1, "b": [1, 2]}) == J.state({"b": [5], "a": 9})
     assert len({J.state(v) for v in ({"a": 1}, {"a": "1"}, {"a": None}, {"a": []}, {"a": [1]}, {"b": 1}, [1], 1)}) == 8
