@@ -134,14 +134,14 @@ def clean(text: str) -> str:
         return text.encode("utf-8", "replace").decode("utf-8") if False else "".join("�" if 0xD800 <= ord(c) <= 0xDFFF else c for c in text)
 
 
-def records(root: Any, every_outer: bool, lone: Callable[[str], bool] | None = None) -> Iterator[tuple[str, str | None, str, Any]]:
+def records(root: Any, every_outer: bool, lone: Callable[[str, Any], bool] | None = None) -> Iterator[tuple[str, str | None, str, Any]]:
     """(node_path, parent_path, record type, value) of each object that is an element of an array, at any depth.
 
     The record type is the path without positions. With ``every_outer``, each non-null element of the outer
     array counts, object or not, and a lone outer object is an array of one.
 
     With ``lone``, no value is left without a record: the root counts unless it is an array or null (its parent is
-    None), so does an object under a key that ``lone`` accepts, and a non-null scalar element of an array that is not
+    None), so does an object that ``lone`` accepts with its key, and a non-null scalar element of an array that is not
     a field of scalars only. The parent is the nearest of all these.
     """
     root = opened(root)
@@ -158,7 +158,7 @@ def records(root: Any, every_outer: bool, lone: Callable[[str], bool] | None = N
                 v = opened(v)
                 if isinstance(v, (dict, list)):
                     at, kind = f"{path}.{k}", f"{of}.{k}" if of else k
-                    row = lone is not None and isinstance(v, dict) and lone(k)
+                    row = lone is not None and isinstance(v, dict) and lone(k, v)
                     if row:
                         yield at, around, kind, v
                     todo.append((v, at, at if row else around, kind, False, True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,26 @@ SUBTYPES: dict[str, dict[str, str]] = {
     "bodies": {"summary": "string", "confidence": "string", "open": "array<string>", "ask": "string", "event": "string", "agent": "string", "role": "string", "model": "string", "model_source": "string"},
 }
 
+#: What the states of a subtype have: JSON kinds of the fields it must have, then of those it may have; null fits any.
+#: A state with another field is none of its states.
+ACCEPTED: dict[str, tuple[dict[str, str], dict[str, str]]] = {
+    "findings": ({"id": "string", "severity": "string"}, {"asset": "string", "tags": "array", "steps": "array"}),
+    "steps": ({"n": "integer", "action": "string"}, {"result": "string", "calls": "array"}),
+    "calls": ({"path": "string", "status": "integer"}, {}),
+    "targets": ({"asset": "string", "methods": "array"}, {"notes": "array"}),
+    "notes": ({"by": "string", "text": "string"}, {}),
+    "windows": ({"from": "integer", "to": "integer"}, {}),
+    "followups": ({"owner": "string", "what": "string"}, {"checks": "array"}),
+    "checks": ({"name": "string", "ok": "boolean"}, {}),
+    "anchors": ({"ref": "string", "sha256": "string"}, {"spans": "array"}),
+    "spans": ({"from": "integer", "to": "integer"}, {}),
+    "tasks": ({"title": "string", "targets": "array"}, {"limits": "object"}),
+    "outcomes": ({"status": "string", "followups": "array"}, {}),
+}
+
+#: No state with more fields is accepted.
+MOST_FIELDS = max(len(must) + len(may) for must, may in ACCEPTED.values())
+
 NODE = "seq bigint, field string, node_path string, parent_path string, record_type string, shape string"
 
 
@@ -48,8 +70,8 @@ def flatten(messages: DataFrame, values: bool = True, whole: bool = False) -> Da
 
     With ``whole``, which the typed tables are made of, every value of a valid text is in some row: the body of
     data_json (``bodies``, node_path ``$`` and no parent_path), each object under a key that names a subtype in
-    singular or plural, in an array or not, and each non-null scalar among an array's objects or arrays, under the
-    field ''. Other lone objects are dotted fields of the row around them. The parent is the nearest of all these.
+    singular or plural or whose state a subtype accepts, in an array or not, and each non-null scalar among an array's objects or arrays, under the
+    field ''. Other lone objects are dotted fields of the row around them. ``record_type`` is what subtype_of chooses. The parent is the nearest of all these.
     """
 
     def rows(seq: int, data: str | None, evidence: str | None):
@@ -62,7 +84,7 @@ def flatten(messages: DataFrame, values: bool = True, whole: bool = False) -> Da
             for path, parent, of, value in J.records(root, field == "evidence_json", _is_lone if whole else None):
                 kind = _record_type(of, field)
                 if whole:
-                    kind = "bodies" if parent is None and field == "data_json" else _plural(kind)
+                    kind = "bodies" if parent is None and field == "data_json" else subtype_of(kind, value)
                 row = (seq, field, J.clean(path), parent if parent is None else J.clean(parent), J.clean(kind), J.state(value))
                 yield (*row, list(_fields(value, whole).items())) if values else row
 
@@ -73,9 +95,31 @@ def _plural(name: str) -> str:
     return f"{name}s" if name not in SUBTYPES and f"{name}s" in SUBTYPES else name
 
 
-def _is_lone(name: str) -> bool:
+@lru_cache(65_536)
+def _accepting(layer: frozenset[tuple[str, str]]) -> tuple[str, ...]:
+    """The subtypes that accept the states with this outer layer: fields with the kinds of their values."""
+    kinds = dict(layer)
+    fits = lambda must, may: must.keys() <= kinds.keys() <= must.keys() | may.keys() and all(kinds[k] in (t, "null") for k, t in (must | may).items() if k in kinds)
+    return tuple(name for name, (must, may) in ACCEPTED.items() if fits(must, may))
+
+
+def accepting(value: object) -> tuple[str, ...]:
+    return _accepting(frozenset((k, J.kind(v)) for k, v in value.items())) if isinstance(value, dict) and 2 <= len(value) <= MOST_FIELDS else ()
+
+
+def subtype_of(name: str, value: object) -> str:
+    """The table of a record: the one subtype that accepts its state; of several the one its name says.
+
+    Where no subtype accepts the state, or several do and the name says none of them, the name decides alone. A
+    name that is no subtype's goes to the records of no known type.
+    """
+    fits, named = accepting(value), _plural(name)
+    return fits[0] if len(fits) == 1 else named
+
+
+def _is_lone(name: str, value: object) -> bool:
     """Whether an object under this key is a record of its own outside an array, too."""
-    return _plural(name) in SUBTYPES
+    return _plural(name) in SUBTYPES or len(accepting(value)) == 1
 
 
 def _record_type(of: str, field: str) -> str:
@@ -95,7 +139,7 @@ def _fields(value: object, whole: bool = False) -> dict[str, str | None]:
         for k, x in v.items():
             x, name = J.opened(x), J.clean(f"{at}{k}")
             if isinstance(x, dict):
-                if not (whole and _is_lone(k)):
+                if not (whole and _is_lone(k, x)):
                     todo.append((f"{name}.", x))
             elif not (isinstance(x, list) and not J.is_flat(x)):
                 out[name] = J.clean(t) if (t := J.text_of(x)) is not None else None
@@ -125,5 +169,9 @@ def subtype(nodes: DataFrame, record_type: str) -> DataFrame:
 
 def route(nodes: DataFrame) -> dict[str, DataFrame]:
     """Every typed subtype table, and under '' the records of no known type with their fields."""
-    known = {name: subtype(nodes, name) for name in SUBTYPES}
-    return known | {"": nodes.filter(~F.col("record_type").isin(*SUBTYPES))}
+    return {name: subtype(nodes, name) for name in SUBTYPES} | {"": others(nodes)}
+
+
+def others(nodes: DataFrame) -> DataFrame:
+    """The records of no known type."""
+    return nodes.filter(~F.col("record_type").isin(*SUBTYPES))

@@ -57,6 +57,11 @@ def _subtype(name: str):
     return query
 
 
+def p4_others(s, d):
+    fields = F.array_sort(F.map_entries("fields"))
+    return nested.others(nested.flatten(table(s, d, "messages"), whole=True)).withColumn("fields", F.to_json(F.map_from_entries(fields)))
+
+
 def p5_found(s, d):
     return drift.changes(table(s, d, "dump_rows")).select("feed", "file_name", "change", "field", "old_field")
 
@@ -82,6 +87,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_shapes": p4_shapes,
     **{f"p4_{name}": _subtype(name) for name in nested.SUBTYPES},
+    "p4_others": p4_others,
     "p5_found": p5_found,
     "p5_fingerprints": p5_fingerprints,
     **{f"p5_{t}": _unified(t) for t in ("participants", "messages")},

@@ -166,6 +166,17 @@ def test_typed_tables_hold_what_stands_outside_arrays(spark):
     assert {"p4_tasks", "p4_outcomes", "p4_bodies"} <= set(QUERIES)
 
 
+def test_states_route_records_whatever_their_array_is_called(spark):
+    call, step, span = {"path": "/x", "status": 200}, {"n": 1, "action": "a"}, {"from": 1, "to": 2}
+    data = {"requests": [call], "findings": [step, {"id": 1}], "job": {"title": "t", "targets": []}, "spans": [span], "windows": [span], "ranges": [span], "odd": [{"k": 1}]}
+    n = nested.flatten(frame(spark, "messages", [message(1, data_json=json.dumps(data), evidence_json=None)]), whole=True)
+    assert {(r.node_path, r.record_type) for r in n.collect()} == {
+        ("$", "bodies"), ("$.requests[0]", "calls"), ("$.findings[0]", "steps"), ("$.findings[1]", "findings"), ("$.job", "tasks"),
+        ("$.spans[0]", "spans"), ("$.windows[0]", "windows"), ("$.ranges[0]", "ranges"), ("$.odd[0]", "odd"),
+    }
+    assert {r.node_path for r in nested.others(n).collect()} == {"$.ranges[0]", "$.odd[0]"} and "p4_others" in QUERIES
+
+
 def test_states_of_the_tree_automaton():
     assert J.state({"a": 1, "b": [1, 2]}) == J.state({"b": [5], "a": 9})
     assert len({J.state(v) for v in ({"a": 1}, {"a": "1"}, {"a": None}, {"a": []}, {"a": [1]}, {"b": 1}, [1], 1)}) == 8
