@@ -78,21 +78,53 @@ def kind(value: Any) -> str:
     return "null"
 
 
-def _open_all(value: Any) -> Any:
-    value = opened(value)
-    if isinstance(value, dict):
-        return {k: _open_all(v) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_open_all(v) for v in value]
-    return value
+def open_all(value: Any) -> Any:
+    """A copy in which every embedded text, at any depth, is opened."""
+    top: list[Any] = [value]
+    todo: list[tuple[Any, Any]] = [(top, 0)]
+    while todo:
+        holder, at = todo.pop()
+        v = opened(holder[at])
+        if isinstance(v, dict):
+            v = dict(v)
+            todo.extend((v, k) for k in v)
+        elif isinstance(v, list):
+            v = list(v)
+            todo.extend((v, i) for i in range(len(v)))
+        holder[at] = v
+    return top[0]
 
 
 def canonical(value: Any) -> str:
     """One text for equal values: sorted keys, compact, embedded texts opened."""
+    value = open_all(value)
     try:
-        return json.dumps(_open_all(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     except RecursionError:
-        return json.dumps(str(type(value)))
+        return _written(value)
+
+
+def _written(value: Any) -> str:
+    """The same text for an opened value of any depth."""
+    out: list[str] = []
+    todo: list[tuple[bool, Any]] = [(False, value)]
+    while todo:
+        is_text, v = todo.pop()
+        if is_text:
+            out.append(v)
+        elif isinstance(v, dict):
+            todo.append((True, "}"))
+            for i, k in reversed(list(enumerate(sorted(v)))):
+                todo += [(False, v[k]), (True, ("," if i else "") + json.dumps(k, ensure_ascii=False) + ":")]
+            todo.append((True, "{"))
+        elif isinstance(v, list):
+            todo.append((True, "]"))
+            for i in range(len(v) - 1, -1, -1):
+                todo += [(False, v[i]), (True, "," if i else "")]
+            todo.append((True, "["))
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def text_of(value: Any) -> str | None:
@@ -106,23 +138,42 @@ def text_of(value: Any) -> str | None:
 SCALAR_STATES = {"null": "n", "boolean": "b", "integer": "i", "number": "f", "string": "s"}
 
 
-def state(value: Any, depth: int = 0) -> str:
+def state(value: Any, known: dict[int, str] | None = None) -> str:
     """The state a bottom-up tree automaton reaches at a value.
 
     A scalar's state is its type. An array's is made of the set of its elements' states, an object's of its keys
     with their states, so objects of one shape reach one state whatever their values and key order. Container
-    states are hashed to 64 bits: a transition table that needs no copy on every executor.
+    states are hashed to 64 bits: a transition table that needs no copy on every executor. ``known`` keeps the states
+    of containers by id, for more calls within one value that open_all has made.
     """
-    value = opened(value)
-    if isinstance(value, (dict, list)):
-        if depth > 200:
-            return "deep"
-        if isinstance(value, list):
-            text = "[" + "|".join(sorted({state(v, depth + 1) for v in value})) + "]"
+    if known is None:
+        value, known = open_all(value), {}
+    if not isinstance(value, (dict, list)):
+        return SCALAR_STATES[kind(value)]
+    if id(value) in known:
+        return known[id(value)]
+    done: list[str] = []
+    todo: list[tuple[Any, bool]] = [(value, False)]
+    while todo:
+        v, closed = todo.pop()
+        if not closed:
+            if not isinstance(v, (dict, list)):
+                done.append(SCALAR_STATES[kind(v)])
+            elif id(v) in known:
+                done.append(known[id(v)])
+            else:
+                todo.append((v, True))
+                todo.extend((x, False) for x in (reversed(v) if isinstance(v, list) else [v[k] for k in sorted(v, reverse=True)]))
+            continue
+        parts = done[len(done) - len(v) :]
+        del done[len(done) - len(v) :]
+        if isinstance(v, list):
+            text = "[" + "|".join(sorted(set(parts))) + "]"
         else:
-            text = "{" + ";".join(f"{k!r}:{state(value[k], depth + 1)}" for k in sorted(value)) + "}"
-        return xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass"))
-    return SCALAR_STATES[kind(value)]
+            text = "{" + ";".join(f"{k!r}:{p}" for k, p in zip(sorted(v), parts)) + "}"
+        done.append(xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass")))
+        known[id(v)] = done[-1]
+    return done[0]
 
 
 def clean(text: str) -> str:

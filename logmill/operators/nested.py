@@ -66,7 +66,8 @@ def flatten(messages: DataFrame, values: bool = True, whole: bool = False) -> Da
 
     In evidence_json each non-null element of the outer array counts, and a lone outer object is an array of one.
     Rows with the same seq are one row. A null or invalid text, a text without arrays and an empty table give no
-    rows; nothing is bounded by depth, length or number of elements.
+    rows; nothing is bounded by depth, length or number of elements, except that the JSON parser's stack ends at some
+    depth between 9,000 and 20,000 levels: a text nested deeper counts as invalid.
 
     With ``whole``, which the typed tables are made of, every value of a valid text is in some row: the body of
     data_json (``bodies``, node_path ``$`` and no parent_path), each object under a key that names a subtype in
@@ -81,11 +82,12 @@ def flatten(messages: DataFrame, values: bool = True, whole: bool = False) -> Da
             root = J.read_open(text)
             if root is J.INVALID:
                 continue
+            root, states = J.open_all(root), {}
             for path, parent, of, value in J.records(root, field == "evidence_json", _is_lone if whole else None):
                 kind = _record_type(of, field)
                 if whole:
                     kind = "bodies" if parent is None and field == "data_json" else subtype_of(kind, value)
-                row = (seq, field, J.clean(path), parent if parent is None else J.clean(parent), J.clean(kind), J.state(value))
+                row = (seq, field, J.clean(path), parent if parent is None else J.clean(parent), J.clean(kind), J.state(value, states))
                 yield (*row, list(_fields(value, whole).items())) if values else row
 
     return map_rows(_once(messages), ["seq", "data_json", "evidence_json"], NODE + (", fields map<string,string>" if values else ""), rows)

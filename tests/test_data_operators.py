@@ -184,6 +184,17 @@ def test_states_of_the_tree_automaton():
     assert J.is_blank(J.read(None)) and J.is_blank(J.read("{")) and not J.is_blank(J.read("9" * 5000))
 
 
+def test_states_and_texts_of_deep_values():
+    def deep(leaf, levels):
+        for _ in range(levels):
+            leaf = {"a": [leaf]}
+        return leaf
+
+    assert J.state(deep(1, 300)) != J.state(deep("1", 300)) and J.state(deep(1, 300)) == J.state(deep(2, 300))
+    assert J.canonical(deep(1, 40_000)) != J.canonical(deep(2, 40_000))
+    assert J.canonical(deep('{"b": 1.5, "a": [null, "ü"]}', 40_000)) == '{"a":[' * 40_000 + '{"a":[null,"ü"],"b":1.5}' + "]}" * 40_000
+
+
 def dump(i, file, line, body, n=0, feed="f", kind="messages"):
     return {"dump_id": i, "feed": feed, "record_type": kind, "file_name": file, "exported_at": at(n), "line_no": line, "rec_key": str(line), "body": body if body is None else json.dumps(body)}
 
