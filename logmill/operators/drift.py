@@ -186,7 +186,9 @@ def unify(dump_rows: DataFrame, record_type: str) -> DataFrame:
     """One consistent table of all files of a record type.
 
     Every line is routed through its feed's chain of renames and cast to the columns of the type's table; a value
-    that does not fit and every field the table lacks stay in ``extra`` as text. Columns: dump_id, feed, file_name,
+    that does not fit and every field the table lacks stay in ``extra`` as text. Of two fields of a line that belong
+    into one column, the one that has its name, else the first by name, with a value gets it, and the other stays in
+    ``extra`` under its own name. Columns: dump_id, feed, file_name,
     exported_at, line_no, the table's columns, extra. Lines delivered twice come out once. A body that is no JSON
     object gives a row with nulls, so no line is lost.
     """
@@ -204,10 +206,21 @@ def unify(dump_rows: DataFrame, record_type: str) -> DataFrame:
         value = J.read_open(body)
         names = dict(renames or ())
         fields: dict[str, str | None] = {}
-        for k, v in (value.items() if isinstance(value, dict) else ()):
+        items = value.items() if isinstance(value, dict) else ()
+        texts = {J.clean(k): J.clean(t) if (t := J.text_of(J.opened(v))) is not None else None for k, v in items}
+        # A key that is a target itself comes first; a renamed one whose place is taken keeps its own name.
+        left = []
+        for k in sorted(texts, key=lambda k: (k in names, k)):
             name = names.get(k, k)
-            if fields.get(J.clean(name)) is None:
-                fields[J.clean(name)] = J.clean(t) if (t := J.text_of(J.opened(v))) is not None else None
+            if fields.get(name) is None:
+                fields[name] = texts[k]
+            elif texts[k] is not None:
+                left.append(k)
+        for k in left:
+            name = k
+            while fields.get(name) is not None:  # another field was renamed to this one's own name
+                name += "_"
+            fields[name] = texts[k]
         yield dump_id, feed, file_name, exported_at, line_no, list(fields.items())
 
     out = map_rows(lines, ["dump_id", "feed", "file_name", "exported_at", "line_no", "body", "renames"], "dump_id bigint, feed string, file_name string, exported_at timestamp_ntz, line_no int, fields map<string,string>", rows)

@@ -224,6 +224,14 @@ def test_a_name_that_comes_back_begins_another_chain(spark):
     assert got == {("f0", 1, None), ("f1", 1, None), ("f2", None, None), ("f3", None, "9"), ("f4", None, "9")}
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_two_fields_of_one_column_lose_no_value(spark, turned):
+    bodies = [{"seq": 1, "archived": 1}, {"seq": 1, "hidden": 1}, {"seq": 1, "hidden": 1, "archived": 5}]
+    rows = [dump(10 * v + i, f"f{v}", i, dict(list({**b, "seq": i}.items())[:: -1 if turned else 1]), v) for v, b in enumerate(bodies) for i in range(3)]
+    got = {(r.file_name, r.archived, r.extra.get("hidden")) for r in drift.unify(frame(spark, "dump_rows", rows), "messages").collect()}
+    assert got == {("f0", 1, None), ("f1", 1, None), ("f2", 5, "1")}
+
+
 def test_drift_needs_two_equal_pairs_and_a_majority(spark):
     one = [dump(1, "a", 1, {"x": 1}), dump(2, "b", 1, {"y": 1}, 1)]
     assert {(r.change, r.field) for r in drift.changes(frame(spark, "dump_rows", one)).collect()} == {("added", "y"), ("removed", "x")}
