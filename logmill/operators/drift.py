@@ -53,18 +53,22 @@ def fingerprints(dump_rows: DataFrame) -> DataFrame:
     return typed.groupBy("feed", "file_name", "field", "type").agg(F.min("exported_at").alias("exported_at"), F.count(F.lit(1)).alias("n_values"))
 
 
-def versions(prints: DataFrame) -> DataFrame:
-    """(feed, file_name, version, field, types): fields of each file; files numbered from 1 in order of export.
+def numbered_files(dump_rows: DataFrame) -> DataFrame:
+    """(feed, file_name, version): every file, also one without fields, numbered from 1 in order of export."""
+    files = _records(dump_rows).groupBy(*FILE).agg(F.min("exported_at").alias("exported_at"))
+    return files.withColumn("version", F.row_number().over(Window.partitionBy("feed").orderBy("exported_at", "file_name"))).drop("exported_at")
+
+
+def versions(prints: DataFrame, files: DataFrame) -> DataFrame:
+    """(feed, file_name, version, field, types): fields of each file; ``files`` as numbered_files has them.
 
     ``types`` are the types that most non-null values have: one, several in a tie, or none if all are null. The
     window runs over files, not records.
     """
-    at = prints.groupBy(*FILE).agg(F.min("exported_at").alias("exported_at"))
-    numbered = at.withColumn("version", F.row_number().over(Window.partitionBy("feed").orderBy("exported_at", "file_name"))).drop("exported_at")
     counted = prints.groupBy(*FILE, "field").agg(F.collect_list(F.when(F.col("type") != "null", F.struct("n_values", "type"))).alias("c"))
     most = F.array_max(F.transform("c", lambda x: x["n_values"]))
     types = F.array_sort(F.transform(F.filter("c", lambda x: x["n_values"] == most), lambda x: x["type"]))
-    return counted.select(*FILE, "field", types.alias("types")).join(numbered, FILE)
+    return counted.select(*FILE, "field", types.alias("types")).join(files, FILE)
 
 
 def changes(dump_rows: DataFrame) -> DataFrame:
@@ -77,8 +81,8 @@ def changes(dump_rows: DataFrame) -> DataFrame:
     first file has no changes; bodies that are no JSON objects and null bodies have no fields.
     """
     scratch = Scratch(dump_rows.sparkSession, "drift")
-    seen = scratch.write(versions(scratch.write(fingerprints(dump_rows), "fingerprints")), "versions")
-    files = seen.select(*FILE, "version").distinct()
+    files = scratch.write(numbered_files(dump_rows), "files")
+    seen = scratch.write(versions(scratch.write(fingerprints(dump_rows), "fingerprints"), files), "versions")
     now = seen.select("feed", "version", "field", F.lit(True).alias("is_now"), F.col("types").alias("now_types"))
     before = seen.select("feed", (F.col("version") + 1).alias("version"), "field", F.lit(True).alias("is_before"), F.col("types").alias("before_types"))
     both = now.join(before, ["feed", "version", "field"], "full_outer")
@@ -196,9 +200,7 @@ def unify(dump_rows: DataFrame, record_type: str) -> DataFrame:
     scratch = Scratch(dump_rows.sparkSession, "unify")
     found = scratch.write(changes(rows_in), "changes")
     names = canonical_names(rows_in, found)
-    files = _records(rows_in).groupBy(*FILE).agg(F.min("exported_at").alias("exported_at"))
-    numbered = files.withColumn("version", F.row_number().over(Window.partitionBy("feed").orderBy("exported_at", "file_name"))).drop("exported_at")
-    per_file = numbered.join(names, "feed").filter("version >= since and version < until").groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", "target"))).alias("renames"))
+    per_file = numbered_files(rows_in).join(names, "feed").filter("version >= since and version < until").groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", "target"))).alias("renames"))
     once = rows_in.groupBy(F.coalesce("feed", F.lit("")).alias("feed"), F.coalesce("file_name", F.lit("")).alias("file_name"), "line_no", F.xxhash64("body").alias("h")).agg(F.min("dump_id").alias("dump_id"), F.min("exported_at").alias("exported_at"), F.min("body").alias("body"))
     lines = join_one(once, per_file, FILE, "left")
 

@@ -67,7 +67,8 @@ def p5_found(s, d):
 
 
 def p5_fingerprints(s, d):
-    return drift.versions(drift.fingerprints(table(s, d, "dump_rows"))).withColumn("types", F.array_join("types", ","))
+    rows = table(s, d, "dump_rows")
+    return drift.versions(drift.fingerprints(rows), drift.numbered_files(rows)).withColumn("types", F.array_join("types", ","))
 
 
 def _unified(record_type: str):

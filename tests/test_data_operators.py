@@ -232,6 +232,14 @@ def test_two_fields_of_one_column_lose_no_value(spark, turned):
     assert got == {("f0", 1, None), ("f1", 1, None), ("f2", 5, "1")}
 
 
+def test_a_file_without_fields_is_a_file(spark):
+    bodies = [{"archived": 1}, None, {"archived": 1}, {"hidden": 1}]
+    rows = [dump(10 * v + i, f"f{v}", i, b, v) for v, b in enumerate(bodies) for i in range(3)]
+    df = frame(spark, "dump_rows", rows)
+    assert {(r.file_name, r.version, r.change, r.field) for r in drift.changes(df).collect()} == {("f1", 2, "removed", "archived"), ("f2", 3, "added", "archived"), ("f3", 4, "renamed", "hidden")}
+    assert {(r.file_name, r.archived) for r in drift.unify(df, "messages").collect()} == {("f0", 1), ("f1", None), ("f2", 1), ("f3", 1)}
+
+
 def test_drift_needs_two_equal_pairs_and_a_majority(spark):
     one = [dump(1, "a", 1, {"x": 1}), dump(2, "b", 1, {"y": 1}, 1)]
     assert {(r.change, r.field) for r in drift.changes(frame(spark, "dump_rows", one)).collect()} == {("added", "y"), ("removed", "x")}
