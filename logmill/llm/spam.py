@@ -105,7 +105,7 @@ def segments(text: str) -> list[Segment]:
             parts = [p for p in _SENTENCE.split(line) if p and not p.isspace()]
         table = table or bool(_HEAD.match(line))
         for p in parts:
-            tokens = len(p.split()) - p.count("•")
+            tokens = sum(1 for t in p.split() if t.strip("•")) if "•" in p else len(p.split())
             if tokens > 0:
                 out.append(Segment(p, tokens, log, code, table))
     return out

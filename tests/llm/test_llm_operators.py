@@ -289,6 +289,10 @@ def test_spam_pages(spark):
     assert S.score(docs(spark, [])).count() == 0
 
 
+def test_tokens_with_a_bullet_attached_count():
+    assert [s.tokens for s in S.segments("•vpn •proxy •seo\n• cheap •• vpn\n•")] == [3, 2]
+
+
 def test_held_out_segments(spark, middle):
     """Trees from one half of the weakly labelled segments agree with the labels of the other half."""
     x, y = [], []
