@@ -7,7 +7,9 @@ batches on the executors instead.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import xxhash
@@ -20,20 +22,98 @@ def _refuse(name: str) -> None:
 
 
 def read(text: str | None) -> Any:
-    """The value of a JSON text, or INVALID: null, no JSON, NaN or Infinity, or nested beyond the parser's stack."""
+    """The value of a JSON text, or INVALID: null, no JSON, NaN or Infinity. Depth does not matter."""
     if text is None:
         return INVALID
     try:
         return json.loads(text, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        pass
+    try:  # an integer of more than 4,300 digits is valid JSON
+        return json.loads(text, parse_constant=_refuse, parse_int=_integer)
     except ValueError:
-        try:  # an integer of more than 4,300 digits is valid JSON
-            return json.loads(text, parse_constant=_refuse, parse_int=lambda s: int(s) if len(s) < 4000 else float(s))
-        except (ValueError, RecursionError):
-            return INVALID
+        return INVALID
     except RecursionError:
+        pass
+    try:
+        return _read_deep(text)
+    except ValueError:
         return INVALID
 
 
+def _integer(digits: str) -> int | float:
+    return int(digits) if len(digits) < 4000 else float(digits)
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?", re.ASCII)
+_WORDS = {"t": ("true", True), "f": ("false", False), "n": ("null", None)}
+
+
+def _read_deep(text: str) -> Any:
+    """``json.loads`` with the open containers in a list, for texts nested beyond the parser's stack."""
+    top: list[Any] = []
+    open_: list[Any] = [top]
+    keys: list[str | None] = [None]
+    at, end = _SPACE.match(text, 0).end(), len(text)
+    while True:
+        # A value begins here.
+        c, closed = text[at : at + 1], True
+        if c == "{" or c == "[":
+            value: Any = {} if c == "{" else []
+            _put(open_[-1], keys[-1], value)
+            at = _SPACE.match(text, at + 1).end()
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at += 1
+            else:
+                open_.append(value)
+                keys.append(None)
+                closed = False
+        elif c == '"':
+            value, at = scanstring(text, at + 1, True)
+            _put(open_[-1], keys[-1], value)
+        elif c in _WORDS and text.startswith(_WORDS[c][0], at):
+            _put(open_[-1], keys[-1], _WORDS[c][1])
+            at += len(_WORDS[c][0])
+        else:
+            m = _NUMBER.match(text, at)
+            if not m:
+                raise ValueError(f"no value at {at}")
+            _put(open_[-1], keys[-1], float(m[0]) if m[1] or m[2] else _integer(m[0]))
+            at = m.end()
+        # Close what ends here, then go on to the next value.
+        while closed:
+            at = _SPACE.match(text, at).end()
+            if len(open_) == 1:
+                if at != end:
+                    raise ValueError(f"more text at {at}")
+                return top[0]
+            mark = text[at : at + 1]
+            if mark == ",":
+                at = _SPACE.match(text, at + 1).end()
+                break
+            if mark != ("}" if isinstance(open_[-1], dict) else "]"):
+                raise ValueError(f"no end at {at}")
+            open_.pop()
+            keys.pop()
+            at += 1
+        if isinstance(open_[-1], dict):
+            if text[at : at + 1] != '"':
+                raise ValueError(f"no name at {at}")
+            keys[-1], at = scanstring(text, at + 1, True)
+            at = _SPACE.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no colon at {at}")
+            at = _SPACE.match(text, at + 1).end()
+
+
+def _put(holder: Any, key: str | None, value: Any) -> None:
+    if isinstance(holder, dict):
+        holder[key] = value
+    else:
+        holder.append(value)
+
+
 def opened(value: Any) -> Any:
     """A string that as a whole is the JSON text of an object or array stands for it."""
     if isinstance(value, str):
@@ -71,7 +151,11 @@ def is_blank(value: Any) -> bool:
 
 def kind(value: Any) -> str:
     """integer, number, string, boolean, array, object or null, after opening an embedded text."""
-    value = opened(value)
+    return written_kind(opened(value))
+
+
+def written_kind(value: Any) -> str:
+    """The JSON type as it is written: an embedded text is a string."""
     for types, name in (((bool,), "boolean"), ((int,), "integer"), ((float,), "number"), ((str,), "string"), ((list,), "array"), ((dict,), "object")):
         if isinstance(value, types):
             return name
@@ -182,7 +266,7 @@ def clean(text: str) -> str:
         text.encode("utf-8")
         return text
     except UnicodeEncodeError:
-        return text.encode("utf-8", "replace").decode("utf-8") if False else "".join("�" if 0xD800 <= ord(c) <= 0xDFFF else c for c in text)
+        return "".join("�" if 0xD800 <= ord(c) <= 0xDFFF else c for c in text)
 
 
 def records(root: Any, every_outer: bool, lone: Callable[[str, Any], bool] | None = None) -> Iterator[tuple[str, str | None, str, Any]]:

@@ -25,11 +25,15 @@ LAST = 2**31 - 1
 
 
 def _fields(body: str | None):
-    """(name, type, hash of the value or None) of each field of a JSON object; no rows for anything else."""
+    """(name, type, hash of the value or None) of each field of a JSON object; no rows for anything else.
+
+    The type is the one that is written: a field that turns from embedded texts to objects is retyped. Values are
+    compared as what the texts stand for.
+    """
     value = J.read_open(body)
     if isinstance(value, dict):
         for k, v in value.items():
-            yield J.clean(k), J.kind(v), None if v is None else xxhash.xxh3_64_intdigest(J.canonical(v).encode("utf-8", "surrogatepass")) - 2**63
+            yield J.clean(k), J.written_kind(v), None if v is None else xxhash.xxh3_64_intdigest(J.canonical(v).encode("utf-8", "surrogatepass")) - 2**63
 
 
 def _records(dump_rows: DataFrame) -> DataFrame:

@@ -27,12 +27,12 @@ def registrations(participants: DataFrame) -> DataFrame:
     return first_by(rows, ["agent_id"], ["seq", "arrived_at"], ["parent", "engagement"])
 
 
-def hierarchy(participants: DataFrame) -> DataFrame:
-    """(agent_id, root_id, depth, path) of every agent.
+def ancestry(participants: DataFrame) -> DataFrame:
+    """(agent_id, root_id, depth, steps) of every agent; steps are the agent ids from the root to the agent.
 
     A parent that is no agent of the same engagement counts as none (null engagements count as one). Agents in a
-    cycle, a self-reference included, or below one have root_id '', depth -1 and path ''. Repeated rows change
-    nothing; an empty table gives no rows; further columns are ignored.
+    cycle, a self-reference included, or below one have root_id '', depth -1 and no steps. Repeated rows change
+    nothing; an empty table gives no rows; further columns are ignored. Ids may hold any character.
     """
     scratch = Scratch(participants.sparkSession, "hierarchy")
     agents = scratch.write(registrations(participants), "agents")
@@ -44,17 +44,22 @@ def hierarchy(participants: DataFrame) -> DataFrame:
         F.col("node").alias("agent_id"),
         F.coalesce("root", F.lit("")).alias("root_id"),
         "depth",
-        F.coalesce("path", F.lit("")).alias("path"),
+        F.coalesce("path", F.array().cast("array<string>")).alias("steps"),
     )
 
 
+def hierarchy(participants: DataFrame) -> DataFrame:
+    """(agent_id, root_id, depth, path) of every agent: ``ancestry`` with the steps joined by ``/``."""
+    return ancestry(participants).select("agent_id", "root_id", "depth", F.array_join("steps", "/").alias("path"))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """(agent_id, descendant_id, distance): every agent below every agent, from the paths of ``hierarchy``.
+    """(agent_id, descendant_id, distance): every agent below every agent, from the steps of ``ancestry``.
 
     As large as the sum of the depths, which is the closure itself; no join and no shuffle. Agents of cycles have
-    no path and give no rows.
+    no steps and give no rows.
     """
-    steps = F.posexplode(F.slice(F.split("path", "/"), F.lit(1), F.col("depth").cast("int")))
+    steps = F.posexplode(F.slice("steps", F.lit(1), F.col("depth").cast("int")))
     return tree.filter("depth > 0").select(F.col("agent_id").alias("descendant_id"), "depth", steps.alias("at", "agent_id")).select("agent_id", "descendant_id", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
 
 

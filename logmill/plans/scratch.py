@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from logmill.errors import LogError
 from logmill.plans.ship import ship
@@ -58,6 +59,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counting(self, df: DataFrame, name: str, rows: Column) -> tuple[DataFrame, int]:
+        """``write``, and how many of the rows ``rows`` holds for, counted while they are written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count_if(rows).alias("rows")), name)
+        return out, seen.get["rows"]
+
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, f"{self.base}/{name}")

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from logmill.plans.ship import ship
 
-#: A key with more rows than this is spread over SALTS tasks.
+#: A key with more rows than this is spread over one task for each so many rows.
 HOT_ROWS = 200_000
-SALTS = 32
 
 
 def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``many`` with ``one``, which has one row a key or a few, however often a key occurs in ``many``.
 
-    Keys with more than ``hot_rows`` rows in ``many`` get a salt on both sides. There are at most
-    rows / hot_rows such keys, which bounds the broadcast: 500,000 keys for 1e11 rows. ``how``: inner, left,
+    Keys with more than ``hot_rows`` rows in ``many`` get salts on both sides, as many as their counted rows fill with
+    ``hot_rows`` each, so no salt has much more rows however hot its key is. There are at most rows / hot_rows such keys
+    and as many salts again, which bounds the broadcast and the copies: 500,000 for 1e11 rows. ``how``: inner, left,
     left_semi or left_anti. Null keys match nothing; for ``left`` and ``left_anti`` they are kept apart so that
     they don't meet in one task.
     """
@@ -24,11 +24,11 @@ def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
     for k in keys:
         present &= F.col(k).isNotNull()
     held = many.filter(present)
-    hot = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows).select(*keys, F.lit(True).alias("__hot"))
-    spread = F.pmod(F.xxhash64(*[many[c] for c in many.columns]), F.lit(SALTS)).cast("int")
-    left = held.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
-    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = one.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    hot = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows).select(*keys, F.ceil(F.col("__rows") / F.lit(hot_rows)).alias("__salts"))
+    spread = F.pmod(F.xxhash64(*[many[c] for c in many.columns]), F.col("__salts"))
+    left = held.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(spread, F.lit(0).cast("long"))).drop("__salts")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("__salts") - 1, F.lit(0).cast("long")))
+    right = one.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(salts)).drop("__salts")
     joined = left.join(right, [*keys, "__salt"], how).drop("__salt")
     if how in ("left", "left_anti"):
         joined = joined.unionByName(many.filter(~present), allowMissingColumns=True)

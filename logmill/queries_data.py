@@ -10,7 +10,7 @@ from logmill.sources.tables import table
 
 
 def _tree(s: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(table(s, d, "participants"))
+    return hierarchy.ancestry(table(s, d, "participants"))
 
 
 def _orphans(s: SparkSession, d: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _orphans(s: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(s, d):
-    return _tree(s, d)
+    return hierarchy.hierarchy(table(s, d, "participants"))
 
 
 def p2_descendants(s, d):
