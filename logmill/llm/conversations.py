@@ -132,10 +132,14 @@ def threads(messages: DataFrame) -> DataFrame:
     held = scratch.write(kept.select("seq", "parent"), "held")
     tree = jump(held.select(F.col("seq").alias("node"), "parent"), scratch, paths=True)
     leaves = tree.join(held.select(F.col("parent").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
-    return leaves.select(F.col("root").alias("root_seq"), F.col("node").alias("leaf_seq"), (F.col("depth") + 1).alias("turns"), "path")
+    return leaves.select(F.col("root").alias("root_seq"), F.col("node").alias("leaf_seq"), (F.col("depth") + 1).alias("turns"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 def dialogues(messages: DataFrame, kept: DataFrame) -> DataFrame:
-    """(root_seq, turn, seq, speaker, role, text): the turns with who speaks and the message's body."""
-    bodies = first_by(messages.filter("seq is not null").select("seq", "arrived_at", "data_json"), ["seq"], ["arrived_at"], ["data_json"])
+    """(root_seq, turn, seq, speaker, role, text): the turns with who speaks and the message's body.
+
+    Bodies of other kinds are not moved, and those of dropped conversations no further than to the join with the kept.
+    """
+    taking = messages.filter(F.col("seq").isNotNull() & text_key("kind").isin(KINDS)).select("seq", "arrived_at", "data_json")
+    bodies = first_by(taking.join(kept.select("seq"), "seq", "left_semi"), ["seq"], ["arrived_at"], ["data_json"])
     return kept.join(bodies, "seq").select("root_seq", "turn", "seq", F.col("sender").alias("speaker"), "role", F.col("data_json").alias("text"))
