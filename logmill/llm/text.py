@@ -13,11 +13,13 @@ LOOK_ALIKES = str.maketrans(
 )
 # Characters without width, and the soft hyphen.
 INVISIBLE = dict.fromkeys(map(ord, "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"))
+_ODD = re.compile("[" + "".join(map(chr, [*INVISIBLE, *LOOK_ALIKES])) + "]")
 # What bytes 0x80 to 0x9f are in code page 1252, where they are anything.
 CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 # Marks within words that don't part them.
 APOSTROPHES = re.compile(r"(?<=\w)['’‘ʼ`´](?=\w)")
 
+_FOLDED = {**INVISIBLE, **LOOK_ALIKES}
 _TWICE = re.compile(f"[\u00c2-\u00f4][\u0080-\u00bf{CP1252}]{{1,3}}")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([nrtbf])|([\"'/\\]))")
 _PAIR = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
@@ -88,7 +90,9 @@ def plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(html.unescape(text))
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(INVISIBLE).translate(LOOK_ALIKES)
+        text = unicodedata.normalize("NFKC", text)
+        if _ODD.search(text):
+            text = text.translate(_FOLDED)
     return text
 
 

@@ -76,8 +76,8 @@ class BaggedTrees:
     """Trees grown on bootstrap samples; their mean is the score."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, strata: np.ndarray | None = None, trees: int = 25, depth: int = 16, least: int = 2, share: float = 0.6, seed: int = 11):
-        """``strata`` numbers the rows' groups: a bootstrap sample draws from each group by the root of its size, so
-        that rare groups are seen. ``share`` of the features is open to each tree, so that the trees differ."""
+        """``strata`` numbers the rows' groups: a bootstrap sample draws from each group by the fourth root of its size,
+        so that rare groups are seen. ``share`` of the features is open to each tree, so that the trees differ."""
         rng = np.random.default_rng(seed)
         edges = [_cuts(x[:, f]) for f in range(x.shape[1])] if len(x) else []
         binned = np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)]) if len(x) else x
@@ -85,7 +85,7 @@ class BaggedTrees:
         p = None
         if strata is not None and len(x):
             _, group, size = np.unique(strata, return_inverse=True, return_counts=True)
-            p = 1 / np.sqrt(size[group])
+            p = size[group] ** -0.75
             p /= p.sum()
         for _ in range(trees if len(x) else 0):
             rows = rng.choice(len(y), len(y), p=p)
