@@ -27,12 +27,12 @@ def p1_dropped(s, d):
     return C.dropped(table(s, d, "messages"))
 
 
-def _matches(s, d):
-    return L.matches(table(s, d, "documents"), table(s, d, "eval_items"))
+def _matches(s, d, least=0.0):
+    return L.matches(table(s, d, "documents"), table(s, d, "eval_items"), least=least)
 
 
 def p6_found(s, d):
-    return L.leaks(_matches(s, d)).select("doc_id", "item_id")
+    return L.leaks(_matches(s, d, 0.5)).select("doc_id", "item_id")
 
 
 def p6_matches(s, d):
@@ -40,11 +40,11 @@ def p6_matches(s, d):
 
 
 def p6_clean(s, d):
-    return L.clean(table(s, d, "documents"), _matches(s, d)).select("doc_id", "source", "engagement")
+    return L.clean(table(s, d, "documents"), _matches(s, d, 0.5)).select("doc_id", "source", "engagement")
 
 
 def p6_report(s, d):
-    return L.leak_report(table(s, d, "eval_items"), _matches(s, d))
+    return L.leak_report(table(s, d, "eval_items"), _matches(s, d, 0.5))
 
 
 def p7_mixture(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 # Letters of other scripts that look like Latin ones, and the Latin ones.
 LOOK_ALIKES = str.maketrans(
@@ -26,6 +27,7 @@ _PAIR = re.compile(r"[\ud800-\udbff][\udc00-\udfff]")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|code|em|font|i|ins|kbd|mark|q|s|small|span|strong|sub|sup|tt|u|var)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
+_SPACE = re.compile(r"\s")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2})+")
 _PLAIN = re.compile(r"[&<\\%]")
 
@@ -96,14 +98,32 @@ def plain(text: str) -> str:
     return text
 
 
-def words(text: str | None) -> list[str]:
-    """The words of a text: letters and digits, folded in case, without accents, apostrophes or markup."""
-    if not text:
-        return []
+#: Characters whose words are taken at a time.
+PIECE = 1_000_000
+
+
+def folded(text: str) -> str:
+    """The text without markup, apostrophes, accents and case."""
     text = plain(text)
     if "<" in text:
         text = _TAG.sub(" ", _INLINE.sub("", text))
     text = APOSTROPHES.sub("", text)
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-    return _WORD.findall(text.lower())
+    return text.lower()
+
+
+def word_runs(text: str | None) -> Iterator[list[str]]:
+    """The words of ``words``, a part of a long text at a time; parts end at white space."""
+    text = folded(text or "")
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + PIECE)
+        end = m.start() if m else len(text)
+        yield _WORD.findall(text, at, end)
+        at = end
+
+
+def words(text: str | None) -> list[str]:
+    """The words of a text: letters and digits, folded in case, without accents, apostrophes or markup."""
+    return [w for run in word_runs(text) for w in run]

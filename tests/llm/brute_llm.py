@@ -4,6 +4,8 @@ from collections import defaultdict
 
 from brute import first_rows, load, opened
 
+from logmill.llm.text import words
+
 
 def key(x):
     return None if x is None else x.strip().lower()
@@ -55,3 +57,24 @@ def conversations(messages):
             bad.add(find(s))
         members[find(s)].append(s)
     return {(min(m), i, s) for g, m in members.items() if g not in bad for i, s in enumerate(sorted(m), 1)}
+
+
+def shared_passages(documents, items, run=5):
+    """{(doc_id, item_id): (item words, words in shared runs, longest run)} by comparing every pair of positions."""
+    out = {}
+    for d, text in documents:
+        w = words(text)
+        for i, item in items:
+            v = words(item)
+            covered, longest = set(), 0
+            for p in range(len(v)):
+                for k in range(len(w)):
+                    n = 0
+                    while p + n < len(v) and k + n < len(w) and v[p + n] == w[k + n]:
+                        n += 1
+                    if n >= run:
+                        covered |= set(range(p, p + n))
+                        longest = max(longest, n)
+            if covered:
+                out[d, i] = (len(v), len(covered), longest)
+    return out

@@ -132,6 +132,8 @@ def test_plain_text_edges():
     assert plain("a < b and c > d") == "a < b and c > d"
     assert repair("naïve Ã") == "naïve Ã" and plain("\\ud83d\\ude00") == "😀" and plain("\\ud800") == "\ud800"
     assert len(words("word " * 300_000)) == 300_000
+    long = "ab cd " * 400_000 + "e" * 1_200_000 + " f"
+    assert words(long)[-3:] == ["cd", "e" * 1_200_000, "f"] and len(words(long)) == 800_002
 
 
 # --- contamination ------------------------------------------------------------------------------------------------------
@@ -173,7 +175,7 @@ def test_half_of_an_item_in_runs_of_five(spark):
         m = L.matches(docs(spark, rows + [(7, item)]), items(spark, [(1, item), (2, "too short"), (3, None), (4, "a b c d e f")]), blocks)
         assert {(r.doc_id, r.item_id) for r in L.leaks(m).collect()} == {(1, 1), (3, 1), (7, 1)}
         best = {r.doc_id: (r.covered_words, r.longest_run, r.at_word) for r in m.collect()}
-        assert best[1] == (10, 10, 1) and best[2] == (9, 9, 0) and best[3] == (10, 5, 0) and best[7] == (20, 20, 0)
+        assert best[1] == (10, 10, 1) and best[2] == (9, 9, 0) and best[3][:2] == (10, 5) and best[7] == (20, 20, 0)
     assert {r.doc_id for r in L.clean(docs(spark, rows), m).collect()} == {2, 4, 5, 6, 8}
     assert {(r.item_id, r.documents, r.longest_run) for r in L.leak_report(items(spark, [(1, item), (4, "a b c d e f")]), m).collect()} == {(1, 3, 20), (4, 0, 0)}
     assert L.matches(docs(spark, []), items(spark, [(1, item)])).count() == 0
@@ -187,13 +189,54 @@ def test_shards_hold_whole_documents(spark, monkeypatch):
     assert got.filter("longest_run = 30").count() == 41
 
 
-def test_suffix_array_finds_every_position():
-    tests = L.Tests([(1, "a b c d e f a b c d e g"), (2, "a b c d e")])
-    ids = np.array([tests.vocabulary.get(w, 0) for w in "a b c d e g x a b c d e f".split()] + [0])
-    array = L.SuffixArray(ids, tests)
-    assert array.keys == sorted(array.keys)
-    assert sorted(array.at[e] for e in array.find(tests.suffixes[0])) == [0, 7]
-    assert not list(L.search([(1, [])], tests))
+def in_shard(documents, test_items, least=0.0):
+    tests, shard = L.Tests(test_items), L.Shard()
+    for i, t in documents:
+        shard.add(i, [np.array([tests.vocabulary.get(w, 0) for w in words(t)], np.int32)])
+    return [r for b in shard.found(tests, least) for r in zip(*[c.to_pylist() for c in b.columns])]
+
+
+def test_suffix_array_orders_suffixes_and_finds_longest_prefixes():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        text = np.append(rng.integers(0, rng.integers(2, 5), rng.integers(1, 40)), 0)
+        array, n = L.SuffixArray(text), len(text)
+        suffix = [tuple((0, i + k) if v == 0 else (1, v) for k, v in enumerate(text[i:].tolist())) for i in range(n)]
+        assert np.argsort(array.rank).tolist() == sorted(range(n), key=suffix.__getitem__)
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n)))
+        a, b = a[a != b], b[a != b]
+        want = [next(k for k, (x, y) in enumerate(zip(suffix[i], suffix[j])) if x != y) for i, j in zip(a, b)]
+        assert array.common(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("most_hits", [1, 12, 4_000_000])
+def test_shards_beside_brute_force(most_hits, monkeypatch):
+    monkeypatch.setattr(L, "MOST_HITS", most_hits)
+    rng = np.random.default_rng(most_hits)
+
+    def text(n, kinds):
+        return " ".join(rng.choice(list("abcdefz")[:kinds], n))
+
+    for _ in range(60):
+        kinds = int(rng.integers(1, 7))
+        documents = [(i, text(int(rng.integers(0, 40)), kinds)) for i in range(int(rng.integers(1, 6)))]
+        held = [(i, text(int(rng.integers(0, 25)), kinds)) for i in range(int(rng.integers(1, 5)))]
+        assert {(r[0], r[1]): r[2:5] for r in in_shard(documents, held)} == brute_llm.shared_passages(documents, held)
+        for d, i, n, covered, longest, at_word in in_shard(documents, held, 0.5):
+            run, item = words(dict(documents)[d])[at_word : at_word + longest], words(dict(held)[i])
+            assert 2 * covered >= n and any(item[k : k + longest] == run for k in range(len(item)))
+
+
+def test_long_items_and_texts_of_one_word_stay_small():
+    import tracemalloc
+
+    long = " ".join(str(k % 977) + str(k % 991) for k in range(100_000))
+    tracemalloc.start()
+    assert in_shard([(1, long), (2, "x " + " ".join(long.split()[500:900]))], [(1, long)]) == [(1, 1, 100_000, 100_000, 100_000, 0), (2, 1, 100_000, 400, 400, 1)]
+    assert [r[:5] for r in in_shard([(1, "same " * 300_000)], [(1, "same " * 100_000), (2, "same same same same same other")])] == [(1, 1, 100_000, 100_000, 100_000), (1, 2, 6, 5, 5)]
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+    assert not in_shard([(1, "")], [(1, "a b c d e")]) and not in_shard([(1, "a b c d e")], [])
 
 
 # --- mixture ------------------------------------------------------------------------------------------------------------
