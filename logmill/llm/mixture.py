@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from logmill.plans.skew import spread, text_key
 TOKENIZERS = os.environ.get("LOGMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Tokens of a block, the unit of apportionment.
-BLOCK_TOKENS = 1_024
+BLOCK_TOKENS = 256
 #: Tokens of a shard: what one task orders.
 SHARD_TOKENS = 50_000_000
 # The word pattern that belongs to the vocabulary.
@@ -36,24 +37,28 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters encoded at a time; a longer text is parted at line or word ends, where tokens part too.
-PIECE = 100_000
+#: Characters encoded at a time.
+PIECE = 1_000_000
+# A letter or digit and then white space, or one and then another kind: the pattern begins a word at the second
+# whatever follows, so counts of the parts add up to the count of the whole.
+_SEAM = regex.compile(r"(?<=[\p{L}\p{N}])[ \t\n\r]|(?<=\p{L})[^\p{L}\s]|(?<=\p{N})[^\p{N}\s]")
 
 
 def _pieces(text: str) -> Iterator[str]:
+    """Parts of a long text that end where words end; a text without such places is one part."""
     at = 0
-    while len(text) - at > PIECE:
-        cut = max(text.rfind(" ", at + 1, at + PIECE), at) or at
-        cut = cut if cut > at else at + PIECE
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+    while at < len(text):
+        m = _SEAM.search(text, at + PIECE)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
 
 
-def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, sources: list[str] | None = None) -> DataFrame:
     """(doc_id, source, tokens) of every document with a text; source trimmed and in lower case.
 
-    Null and blank texts have no tokens and give no row; a null or blank source is ''. Repeated doc_ids stay.
+    Null and blank texts have no tokens and give no row; a null or blank source is ''. Repeated doc_ids stay. With
+    ``sources``, the texts of others are not read into Python.
     """
     path = f"{tokenizers}/{vocabulary}"
 
@@ -64,6 +69,8 @@ def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "source", "tokens"])
 
     held = documents.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"\S")).select("doc_id", F.coalesce(text_key("source"), F.lit("")).alias("source"), "text")
+    if sources is not None:
+        held = held.filter(F.col("source").isin(sources))
     return spread(held, "doc_id").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
@@ -115,8 +122,6 @@ def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None, b
     if total_tokens is None:
         use = t["usable"]
         total_tokens = int((room[use] / t["share"][use]).min()) if use.any() else 0
-    # A block is never so large that rounding to blocks would show in the shares.
-    block = max(1, min(block, total_tokens // 10_000 or 1))
     t["blocks"] = sainte_lague(t["share"].tolist(), total_tokens // block, (room // block).tolist())
     rows = []
     for r in t[t["usable"]].itertuples():
@@ -134,37 +139,44 @@ def plan(sizes: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None, b
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(the mixture, the shares reached).
 
-    The mixture has one row a document that is used: (doc_id, source, tokens, copies), copies at most max_repeats
-    of its source. Shards are dealt by a hash of doc_id and ``seed``; within a shard documents stand in a seeded
-    order, cut into blocks of equal tokens, and the quota takes whole rounds of all blocks and then the first
-    ones of one more. A document belongs to the block its middle falls in, so none is cut.
+    The mixture has one row a document that is used: (doc_id, source, tokens, shard, block, copies), copies at most
+    max_repeats of its source. Shards are dealt by a hash of doc_id; within a shard documents stand in the order of
+    that hash, cut into blocks of ``block`` tokens each. A document belongs to the block its middle falls in, so none
+    is cut. A shard's quota takes whole rounds of all blocks, then blocks drawn in an order seeded by ``seed``, up to
+    the one whose middle passes what is left of the quota. Sums stay within half a block, or half a document where
+    documents are larger, of each shard's quota; mixtures of few blocks want a smaller ``block``.
 
     The report has a row for each source of the targets: target_share, reached_share, tokens, documents, copies,
     available_tokens. Documents of sources without a target, '' included, are left out; a null share counts as 0,
     a null max_repeats as 1, repeated target rows as the first. An empty table gives an empty mixture.
 
-    To the driver go only sums for each source and shard: one row for ``shard_tokens`` tokens.
+    To the driver go the targets, one row a source, and sums for each source and shard: one row for ``shard_tokens`` tokens.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixture")
     goal = targets.filter(text_key("source") != "").select(text_key("source").alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
     goals = goal.toPandas().sort_values(["source", "target_share"]).drop_duplicates("source").reset_index(drop=True)
-    counted = token_counts(documents, tokenizers, vocabulary).filter("tokens > 0")
-    held = scratch.write(counted.filter(F.col("source").isin(goals["source"].tolist())), "tokens")
+    held = scratch.write(token_counts(documents, tokenizers, vocabulary, goals["source"].tolist()).filter("tokens > 0"), "tokens")
     sums = {r["source"]: r["n"] for r in held.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     number = F.coalesce(F.create_map(*[F.lit(x) for s, n in sums.items() for x in (s, -(-n // shard_tokens))])[F.col("source")] if sums else F.lit(1), F.lit(1))
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    dealt = held.withColumn("at", order).withColumn("shard", F.pmod(F.xxhash64("at"), number).cast("int"))
+    dealt = held.withColumn("at", F.xxhash64("doc_id")).withColumn("shard", F.pmod(F.xxhash64("at"), number).cast("int"))
     sizes = dealt.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).toPandas()
     quotas, shares = plan(sizes, goals, total_tokens, block)
     quota = spark.createDataFrame(list(quotas.itertuples(index=False, name=None)), "source string, shard int, quota bigint, shard_tokens bigint")
-    before = F.sum("tokens").over(Window.partitionBy("source", "shard").orderBy("at", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1))
-    placed = dealt.withColumn("middle", F.coalesce(before, F.lit(0)) + F.col("tokens") / 2)
+    # All windows keep the partitioning of the first: one shuffle of narrow rows.
+    part = ["source", "shard"]
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    at_first = before.partitionBy(*part).orderBy("at", "doc_id", "tokens")
+    placed = dealt.withColumn("block", F.floor((F.coalesce(F.sum("tokens").over(at_first), F.lit(0)) + F.col("tokens") / 2) / block))
+    draw = placed.withColumn("draw", F.xxhash64(F.lit(seed), *part, "block"))
+    drawn = draw.withColumn("passed", F.coalesce(F.sum("tokens").over(before.partitionBy(*part).orderBy("draw", "block", "at", "doc_id", "tokens")), F.lit(0)))
+    own = Window.partitionBy(*part, "block")
+    middle = drawn.withColumn("middle", F.min("passed").over(own) + F.sum("tokens").over(own) / 2)
     # The quotas are as few as the shards: their size is known.
-    joined = placed.join(F.broadcast(quota) if len(quotas) < 1_000_000 else quota, ["source", "shard"])
+    joined = middle.join(F.broadcast(quota) if len(quotas) < 1_000_000 else quota, part)
     rounds = F.floor(F.col("quota") / F.col("shard_tokens"))
     copies = rounds + (F.col("middle") <= F.col("quota") % F.col("shard_tokens")).cast("long")
-    mixed = scratch.write(joined.select("doc_id", "source", "tokens", copies.cast("int").alias("copies")).filter("copies > 0"), "mixed")
+    mixed = scratch.write(joined.select("doc_id", "source", "tokens", "shard", "block", copies.cast("int").alias("copies")).filter("copies > 0"), "mixed")
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"))
     aims = spark.createDataFrame([(r.source, float(r.target_share), int(r.have)) for r in shares.itertuples()], "source string, target_share double, available_tokens bigint")
     whole = Window.partitionBy()

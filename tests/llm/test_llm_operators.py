@@ -279,24 +279,43 @@ def test_shares_are_reached_and_caps_kept(spark, middle):
 def test_mixture_edges(spark):
     goal = spark.createDataFrame([("a", 0.5, 3), (" B ", 0.5, None), ("none", None, 2), (None, 0.3, 1), ("b", 0.5, 9)], "source string, target_share double, max_repeats int")
     rows = [{"doc_id": i, "text": "one two three four five", "source": "A " if i < 5 else "b"} for i in range(30)] + [{"doc_id": 90, "text": None, "source": "a"}, {"doc_id": 91, "text": "  ", "source": "a"}, {"doc_id": 92, "text": "x", "source": None}, {"doc_id": None, "text": "x", "source": "a"}]
-    mixed, report = M.mixture(frame(spark, "documents", rows), goal)
+    mixed, report = M.mixture(frame(spark, "documents", rows), goal, block=5)
     got = {r.source: r for r in report.collect()}
     assert got["a"].copies == got["b"].copies == 15 and got["a"].documents == 5 and got["none"].tokens == 0
     assert {r.copies for r in mixed.filter("source = 'a'").collect()} == {3}
-    many, _ = M.mixture(frame(spark, "documents", rows), goal, total_tokens=10**6, shard_tokens=20)
+    many, _ = M.mixture(frame(spark, "documents", rows), goal, total_tokens=10**6, shard_tokens=20, block=5)
     assert {(r.source, r.copies) for r in many.collect()} == {("a", 3), ("b", 1)}
     empty, none = M.mixture(frame(spark, "documents", []), goal)
     assert empty.count() == 0 and {r.reached_share for r in none.collect()} == {0.0}
-    one, two = (sorted(r.doc_id for r in M.mixture(frame(spark, "documents", rows), goal, total_tokens=60, seed=s)[0].collect()) for s in (1, 1))
+    one, two = (sorted(r.doc_id for r in M.mixture(frame(spark, "documents", rows), goal, total_tokens=60, seed=s, block=5)[0].collect()) for s in (1, 1))
     assert one == two
 
 
 @pytest.mark.skipif(not HAS_TOKENIZER, reason="no tokenizer")
-def test_tokens_of_long_texts_add_up(spark):
-    text = "word and another  word\n" * 20_000
-    n = M.token_counts(frame(spark, "documents", [{"doc_id": 1, "text": text, "source": "a"}])).first().tokens
-    assert abs(n - len(M._encoding(f"{M.TOKENIZERS}/{M.VOCABULARY}").encode_ordinary(text))) <= 8
-    assert "".join(M._pieces(text)) == text and "".join(M._pieces("x" * 250_000)) == "x" * 250_000
+def test_blocks_are_drawn_whole_by_the_seed(spark):
+    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    rows = [{"doc_id": i, "text": "one two three four five " * (1 + i % 4), "source": "a" if i % 3 else "b"} for i in range(600)]
+    picks = []
+    for seed in (1, 2):
+        mixed, report = M.mixture(frame(spark, "documents", rows), goal, total_tokens=4000, seed=seed, block=40, shard_tokens=1000)
+        got = mixed.collect()
+        every = M.mixture(frame(spark, "documents", rows), goal, total_tokens=10**9, seed=seed, block=40, shard_tokens=1000)[0].collect()
+        blocks = {(r.source, r.shard, r.block) for r in got}
+        assert {r.doc_id for r in got} == {r.doc_id for r in every if (r.source, r.shard, r.block) in blocks}, "a block is drawn whole"
+        shards = len({(r.source, r.shard) for r in every})
+        assert all(abs(r.tokens - 2000) <= shards * 30 for r in report.collect())
+        picks.append(blocks)
+    assert picks[0] != picks[1]
+
+
+@pytest.mark.skipif(not HAS_TOKENIZER, reason="no tokenizer")
+@pytest.mark.parametrize("text", ["word and another  word\n" * 20_000, "line\n\n  'll don't it's 5's a_b\n" * 9_000, "x" * 250_000, "αβγ1234!?...\t \r\n" * 9_000, "7" * 30_000 + " " * 30_000 + "\n\n\n" * 9_000 + "z", "a\x1cb\u2003c\u00a0 d' s" * 9_000])
+def test_tokens_of_long_texts_add_up(text, spark, monkeypatch):
+    monkeypatch.setattr(M, "PIECE", 1000)
+    encode = M._encoding(f"{M.TOKENIZERS}/{M.VOCABULARY}").encode_ordinary
+    assert "".join(M._pieces(text)) == text
+    assert sum(len(encode(p)) for p in M._pieces(text)) == len(encode(text))
+    assert M.token_counts(frame(spark, "documents", [{"doc_id": 1, "text": text, "source": "a"}])).first().tokens == len(encode(text))
 
 
 # --- spam ---------------------------------------------------------------------------------------------------------------
