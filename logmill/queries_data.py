@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.operators import drift, hierarchy, nested, references
+from logmill.plans.scratch import Scratch
 from logmill.sources.tables import table
 
 
@@ -37,6 +38,19 @@ def p3_found(s, d):
     return _orphans(s, d).select("ref_table", "ref_field", "seq", "status")
 
 
+def p3_maintained(s, d):
+    """The orphans of a state that got the tables in two batches: what arrived in the first half of the time, then the rest."""
+    tables = [table(s, d, n) for n in ("messages", "participants", "purges")]
+    times = ["arrived_at", "arrived_at", "purged_at"]
+    ends = tables[0].agg(F.min("arrived_at").alias("a"), F.max("arrived_at").alias("b")).first()
+    middle = F.lit(ends["a"] + (ends["b"] - ends["a"]) / 2 if ends["a"] else None).cast("timestamp_ntz")
+    scratch, state = Scratch(s, "references"), None
+    for second in (False, True):
+        part = [t.filter(F.coalesce(F.col(c) > middle, F.lit(False)) == second) for t, c in zip(tables, times)]
+        state = references.store(references.advance(state, references.facts(*part)), scratch, f"batch-{int(second)}")
+    return references.orphans(state).select("ref_table", "ref_field", "seq", "status")
+
+
 def p3_report(s, d):
     return references.orphan_report(_orphans(s, d))
 
@@ -84,6 +98,7 @@ QUERIES = {
     "p2_subtrees": p2_subtrees,
     "p2_cycles": p2_cycles,
     "p3_found": p3_found,
+    "p3_maintained": p3_maintained,
     "p3_report": p3_report,
     "p4_found": p4_found,
     "p4_shapes": p4_shapes,
@@ -166,5 +181,6 @@ SQL = {
     "p2_subtrees": TREE + "SELECT t.agent_id, count(c.agent_id) AS descendants, CAST(coalesce(max(c.distance), 0) AS BIGINT) AS height FROM tree t LEFT JOIN closure c ON c.agent_id = t.agent_id WHERE t.depth >= 0 GROUP BY t.agent_id",
     "p2_cycles": TREE + "SELECT agent_id FROM tree WHERE depth < 0",
     "p3_found": ORPHANS + "SELECT ref_table, ref_field, seq, status FROM orphans",
+    "p3_maintained": ORPHANS + "SELECT ref_table, ref_field, seq, status FROM orphans",
     "p3_report": ORPHANS + "SELECT ref_table, ref_field, coalesce(strftime(try_cast(trim(created_at) AS TIMESTAMP), '%Y-%m'), '') AS month, status, count(*) AS n_refs, count(DISTINCT key) AS n_keys FROM orphans GROUP BY 1, 2, 3, 4",
 }

@@ -1,6 +1,7 @@
 """Problems 2 to 5 beside brute force, and their edge cases."""
 
 import datetime as dt
+import itertools
 import json
 
 import pytest
@@ -9,6 +10,7 @@ import brute
 from conftest import read
 from logmill.functions import jsontree as J
 from logmill.operators import drift, hierarchy, nested, references
+from logmill.plans.scratch import Scratch
 from logmill.queries import QUERIES
 from logmill.sources.tables import SCHEMAS
 
@@ -61,9 +63,9 @@ def test_hierarchy_of_nothing_and_clashing_columns(spark):
 
 
 def test_descendants(spark):
-    t = hierarchy.hierarchy(frame(spark, "participants", [agent(1, "r"), agent(2, "a", "r"), agent(3, "b", "a"), agent(4, "l", "l")]))
-    assert {tuple(x) for x in hierarchy.descendants(t).collect()} == {("r", "a", 1), ("r", "b", 2), ("a", "b", 1)}
-    assert {tuple(x) for x in hierarchy.subtree_sizes(t).collect()} == {("r", 2, 2), ("a", 1, 1), ("b", 0, 0)}
+    t = hierarchy.ancestry(frame(spark, "participants", [agent(1, "r/1"), agent(2, "a", "r/1"), agent(3, "b", "a"), agent(4, "l", "l")]))
+    assert {tuple(x) for x in hierarchy.descendants(t).collect()} == {("r/1", "a", 1), ("r/1", "b", 2), ("a", "b", 1)}
+    assert {tuple(x) for x in hierarchy.subtree_sizes(t).collect()} == {("r/1", 2, 2), ("a", 1, 1), ("b", 0, 0)}
     assert [x.agent_id for x in hierarchy.cyclic(t).collect()] == ["l"]
 
 
@@ -91,20 +93,43 @@ def test_orphans(spark):
     assert found(spark, []) == set()
 
 
-def test_orphan_state_from_changes_equals_the_whole(spark):
-    people = frame(spark, "participants", [agent(1, "a1")])
-    none = frame(spark, "purges", [])
-    old, new = frame(spark, "messages", [message(10, reply_to=11), message(12)]), frame(spark, "messages", [message(11), message(13, reply_to=12)])
-    empty = frame(spark, "participants", [])
-
-    def change(m, p, sign=1):
-        return references.deltas(references.references(m, p), m, p, none, sign)
-
-    step = references.counts(change(new, empty), references.counts(change(old, people)))
-    whole = references.counts(change(old.union(new), people))
-    assert set(step.collect()) == set(whole.collect())
-    gone = references.counts(change(frame(spark, "messages", [message(12)]), empty, -1), step)
-    assert {r.key for r in references.orphan_keys(gone).collect()} == {"a2", "11", "12"}
+def test_orphan_state_from_batches(spark):
+    def batch(m=(), p=(), g=()):
+        return references.facts(frame(spark, "messages", m), frame(spark, "participants", p), frame(spark, "purges", g))
+
+    def gone(*row_ids):
+        return spark.createDataFrame([(i,) for i in row_ids], "row_id string")
+
+    def now(state):
+        return {(r.seq, r.ref_field, r.status) for r in references.orphans(state).collect()}
+
+    scratch = Scratch(spark, "batches")
+
+    def step(state, *args):
+        return references.store(references.advance(state, *args), scratch, f"step-{next(number)}")
+
+    number = itertools.count()
+    people = [agent(1, "a1", n=0), agent(2, "a2", n=0)]
+    one = step(None, batch([message(10, reply_to=11), message(12)], people))
+    assert now(one) == {(10, "reply_to", "missing")}
+    two = step(one, batch([message(11), message(13, reply_to=12)]))
+    assert now(two) == {(10, "reply_to", "late")}
+    whole = step(None, batch([message(10, reply_to=11), message(12), message(11), message(13, reply_to=12)], people))
+    compact = whole.counts.groupBy(*references.KEY, "at").sum(*references.COUNTS)
+    assert {tuple(r) for r in two.counts.select(*references.KEY, "at", *references.COUNTS).collect()} == {tuple(r) for r in compact.collect()}
+    # Exports that come again, in the same and in later batches, count nothing twice.
+    again = step(two, batch([message(10, reply_to=11, arrived_at=at(500)), message(13, reply_to=99, arrived_at=at(501)), message(12)]))
+    assert now(again) == now(two) and {tuple(r) for r in again.counts.collect()} == {tuple(r) for r in two.counts.collect()}
+    # A removed target is missing, noted ones are deleted, one that is added again is late.
+    less = step(again, batch(), gone("messages/12"))
+    assert now(less) == {(10, "reply_to", "late"), (13, "reply_to", "missing")}
+    noted = step(less, batch(g=[{"purge_id": 1, "engagement": "e", "target": " Messages", "target_key": "12"}]))
+    assert (13, "reply_to", "deleted") in now(noted)
+    back = step(noted, batch([message(12, arrived_at=at(600))]))
+    assert (13, "reply_to", "late") in now(back)
+    # Rows that refer go with their references; unknown removals change nothing.
+    none = step(back, batch(), gone("messages/10", "messages/13", "messages/404"))
+    assert now(none) == set() and none.counts.filter("n_refs < 0 or n_rows < 0").count() == 0
 
 
 def test_month_is_in_utc(spark):
