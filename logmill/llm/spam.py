@@ -283,7 +283,7 @@ def rules(x: np.ndarray) -> np.ndarray:
     phrases = ((c["short"] > 0) & (c["around_short"] >= 4) | again) & ~plain_line
     calm = (c["top_bigram"] <= 2) & (c["stuffed_share"] < 0.2) & (c["around_stuffed"] <= 1) & (c["url_share"] < 0.15)
     sentence = (c["words"] >= 6) & (c["item_words"] >= 4) & (c["ends"] > 0) & calm & ~tagged
-    sentence |= (c["words"] >= 10) & (c["item_words"] >= 6) & (c["distinct"] >= 0.7) & (c["top_word"] < 0.2) & calm & (c["common_share"] < 0.3) & ~tagged
+    sentence |= (c["words"] >= 10) & (c["item_words"] >= 6) & ((c["distinct"] >= 0.7) | (c["words"] >= 40) & (c["distinct"] >= 0.5)) & (c["top_word"] < 0.2) & calm & (c["common_share"] < 0.3) & ~tagged
     alone = (c["words"] <= 5) & (c["around_short"] <= 2) & (c["around_again"] <= 2) & (c["page_brief"] < 0.5) & (c["page_short"] < 0.3) & (c["page_urls"] < 0.1) & ~linked & ~tagged & (c["stuffed_share"] == 0)
     held = np.stack([sentence, alone, plain_line, listed, phrases, linked, dressed, crammed, tagged])
     return held.T.astype(bool)
