@@ -6,13 +6,12 @@ batches on the executors instead.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
 from json.decoder import scanstring
-from typing import Any
-
-import xxhash
+from typing import Any, NamedTuple
 
 INVALID = object()
 
@@ -218,17 +217,19 @@ def text_of(value: Any) -> str | None:
     return canonical(value)
 
 
-#: Automaton states of scalars.
+#: Automaton states of scalars; those of arrays and objects begin with ``a`` and ``o``.
 SCALAR_STATES = {"null": "n", "boolean": "b", "integer": "i", "number": "f", "string": "s"}
+KINDS = {v: k for k, v in SCALAR_STATES.items()} | {"a": "array", "o": "object"}
 
 
-def state(value: Any, known: dict[int, str] | None = None) -> str:
+def state(value: Any, known: dict[int, str] | None = None, layers: dict[str, dict[str, str]] | None = None) -> str:
     """The state a bottom-up tree automaton reaches at a value.
 
     A scalar's state is its type. An array's is made of the set of its elements' states, an object's of its keys
     with their states, so objects of one shape reach one state whatever their values and key order. Container
     states are hashed to 64 bits: a transition table that needs no copy on every executor. ``known`` keeps the states
-    of containers by id, for more calls within one value that open_all has made.
+    of containers by id, for more calls within one value that open_all has made; ``layers`` gets, for each state of an object,
+    the kinds of its fields, which is all that the last transition has read.
     """
     if known is None:
         value, known = open_all(value), {}
@@ -252,11 +253,15 @@ def state(value: Any, known: dict[int, str] | None = None) -> str:
         parts = done[len(done) - len(v) :]
         del done[len(done) - len(v) :]
         if isinstance(v, list):
-            text = "[" + "|".join(sorted(set(parts))) + "]"
+            mark, text = "a", "[" + "|".join(sorted(set(parts))) + "]"
         else:
-            text = "{" + ";".join(f"{k!r}:{p}" for k, p in zip(sorted(v), parts)) + "}"
-        done.append(xxhash.xxh64_hexdigest(text.encode("utf-8", "surrogatepass")))
-        known[id(v)] = done[-1]
+            keys = sorted(v)
+            mark, text = "o", "{" + ";".join(f"{json.dumps(k, ensure_ascii=False)}:{p}" for k, p in zip(keys, parts)) + "}"
+        reached = mark + hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:16]
+        if layers is not None and mark == "o" and reached not in layers:
+            layers[reached] = {k: KINDS[p[0]] for k, p in zip(keys, parts)}
+        done.append(reached)
+        known[id(v)] = reached
     return done[0]
 
 
@@ -269,43 +274,53 @@ def clean(text: str) -> str:
         return "".join("�" if 0xD800 <= ord(c) <= 0xDFFF else c for c in text)
 
 
-def records(root: Any, every_outer: bool, lone: Callable[[str, Any], bool] | None = None) -> Iterator[tuple[str, str | None, str, Any]]:
-    """(node_path, parent_path, record type, value) of each object that is an element of an array, at any depth.
+class Record(NamedTuple):
+    """A value with a row of its own: its path, that of the nearest record around it (None at the root), its path without
+    positions, whether it is an element of an array that counts as such, and the nearest such element around it."""
+
+    path: str
+    parent: str | None
+    of: str
+    value: Any
+    element: bool
+    element_parent: str
+
 
-    The record type is the path without positions. With ``every_outer``, each non-null element of the outer
-    array counts, object or not, and a lone outer object is an array of one.
+def records(root: Any, every_outer: bool, lone: Callable[[str, Any], bool]) -> Iterator[Record]:
+    """Every record of a value, so that no value is left without one.
 
-    With ``lone``, no value is left without a record: the root counts unless it is an array or null (its parent is
-    None), so does an object that ``lone`` accepts with its key, and a non-null scalar element of an array that is not
-    a field of scalars only. The parent is the nearest of all these.
+    Elements are the objects in arrays, at any depth; with ``every_outer`` also each other non-null element of the
+    outer array, and a lone outer object is an array of one. Further records are the root unless it is an array or null, each object that
+    ``lone`` accepts with its key, and non-null scalars of an array that is not a field of scalars only.
     """
     root = opened(root)
     if every_outer and isinstance(root, dict):
         root = [root]
     outer = every_outer and isinstance(root, list)
-    if lone and root is not None and not isinstance(root, list):
-        yield "$", None, "", root
-    todo: list[tuple[Any, str, str, str, bool, bool]] = [(root, "$", "$", "", outer, False)]
+    if root is not None and not isinstance(root, list):
+        yield Record("$", None, "", root, False, "$")
+    todo: list[tuple[Any, str, str, str, str, bool, bool]] = [(root, "$", "$", "$", "", outer, False)]
     while todo:
-        value, path, around, of, top, is_field = todo.pop()
+        value, path, around, within, of, top, is_field = todo.pop()
         if isinstance(value, dict):
             for k, v in value.items():
                 v = opened(v)
                 if isinstance(v, (dict, list)):
                     at, kind = f"{path}.{k}", f"{of}.{k}" if of else k
-                    row = lone is not None and isinstance(v, dict) and lone(k, v)
+                    row = isinstance(v, dict) and lone(k, v)
                     if row:
-                        yield at, around, kind, v
-                    todo.append((v, at, at if row else around, kind, False, True))
+                        yield Record(at, around, kind, v, False, within)
+                    todo.append((v, at, at if row else around, within, kind, False, True))
         elif isinstance(value, list):
-            scalars = lone is not None and not (is_field and is_flat(value))
+            scalars = not (is_field and is_flat(value))
             for i, v in enumerate(value):
                 v = opened(v)
-                at, row = f"{path}[{i}]", isinstance(v, dict) or (v is not None and (top or (scalars and not isinstance(v, list))))
+                at, element = f"{path}[{i}]", isinstance(v, dict) or (v is not None and top)
+                row = element or (v is not None and scalars and not isinstance(v, list))
                 if row:
-                    yield at, around, f"{of}[]", v
+                    yield Record(at, around, f"{of}[]", v, element, within)
                 if isinstance(v, (dict, list)):
-                    todo.append((v, at, at if row else around, f"{of}[]", False, False))
+                    todo.append((v, at, at if row else around, at if element else within, f"{of}[]", False, False))
 
 
 def is_flat(values: list) -> bool:

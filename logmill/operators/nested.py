@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +45,7 @@ ACCEPTED: dict[str, tuple[dict[str, str], dict[str, str]]] = {
     "outcomes": ({"status": "string", "followups": "array"}, {}),
 }
 
-#: No state with more fields is accepted.
-MOST_FIELDS = max(len(must) + len(may) for must, may in ACCEPTED.values())
-
-NODE = "seq bigint, field string, node_path string, parent_path string, record_type string, shape string"
+NODE = "seq bigint, field string, node_path string, parent_path string, record_type string, shape string, element boolean, element_parent string"
 
 
 def _once(messages: DataFrame) -> DataFrame:
@@ -56,72 +53,99 @@ def _once(messages: DataFrame) -> DataFrame:
     return first_by(rows, ["seq"], ["arrived_at"], ["data_json", "evidence_json"])
 
 
-def flatten(messages: DataFrame, values: bool = True, whole: bool = False) -> DataFrame:
-    """The supertype table: one row for each object that is an element of an array, at any depth.
+def flatten(messages: DataFrame, values: bool = True, elements: bool = False) -> DataFrame:
+    """The supertype table: one row for each record of data_json and evidence_json, at any depth.
 
-    (seq, field, node_path, parent_path, record_type, shape[, fields]). node_path and parent_path are the keys that
-    all subtypes keep: the parent is the row of the same seq and field whose node_path is parent_path, or the
-    message itself for ``$``. ``shape`` is the state of the tree automaton, ``record_type`` the name of the nearest
-    array. ``fields`` holds the record's values as text; what is a record of its own is left to its own row.
+    (seq, field, node_path, parent_path, record_type, shape, element, element_parent[, fields]). node_path and parent_path
+    are the keys that all subtypes keep: the parent is the row of the same seq and field whose node_path is parent_path,
+    or the message itself for ``$``. ``shape`` is the state of the tree automaton, ``record_type`` the table that the state
+    is routed to (``subtype_of``). ``fields`` holds the record's values as text; what is a record of its own is left to its own row.
 
-    In evidence_json each non-null element of the outer array counts, and a lone outer object is an array of one.
-    Rows with the same seq are one row. A null or invalid text, a text without arrays and an empty table give no
-    rows; nothing is bounded by depth, length or number of elements, except that the JSON parser's stack ends at some
-    depth between 9,000 and 20,000 levels: a text nested deeper counts as invalid.
+    Every value of a valid text is in some row: the body of data_json (``bodies``, node_path ``$`` and no parent_path),
+    each object that is an element of an array, each object under a key that names a subtype in singular or plural or
+    whose state a subtype accepts, and each non-null scalar among an array's objects or arrays, under the field ''. Other
+    lone objects are dotted fields of the row around them. The parent is the nearest of all these. ``element`` marks the
+    elements of arrays (of evidence_json's outer array each non-null one, and a lone outer object is an array of one),
+    ``element_parent`` the nearest of those; with ``elements`` only they come out.
 
-    With ``whole``, which the typed tables are made of, every value of a valid text is in some row: the body of
-    data_json (``bodies``, node_path ``$`` and no parent_path), each object under a key that names a subtype in
-    singular or plural or whose state a subtype accepts, in an array or not, and each non-null scalar among an array's objects or arrays, under the
-    field ''. Other lone objects are dotted fields of the row around them. ``record_type`` is what subtype_of chooses. The parent is the nearest of all these.
+    Rows with the same seq are one row. A null or invalid text and an empty table give no rows; nothing is bounded by
+    depth, length or number of elements.
     """
 
     def rows(seq: int, data: str | None, evidence: str | None):
         for field, text in (("data_json", data), ("evidence_json", evidence)):
-            if text is None or (not whole and "[" not in text and not (field == "evidence_json" and "{" in text)):
+            if text is None:
                 continue
             root = J.read_open(text)
             if root is J.INVALID:
                 continue
             root, states = J.open_all(root), {}
-            for path, parent, of, value in J.records(root, field == "evidence_json", _is_lone if whole else None):
-                kind = _record_type(of, field)
-                if whole:
-                    kind = "bodies" if parent is None and field == "data_json" else subtype_of(kind, value)
-                row = (seq, field, J.clean(path), parent if parent is None else J.clean(parent), J.clean(kind), J.state(value, states))
-                yield (*row, list(_fields(value, whole).items())) if values else row
+            router.forget()
+            J.state(root, states, router.layers)
+
+            def lone(name: str, value: dict) -> bool:
+                return _plural(name) in SUBTYPES or len(router.accepting(states[id(value)])) == 1
+
+            for r in J.records(root, field == "evidence_json", lone):
+                if elements and not r.element:
+                    continue
+                shape = states.get(id(r.value)) or J.state(r.value)
+                kind = "bodies" if r.parent is None and field == "data_json" else router.subtype_of(_record_type(r.of, field), shape)
+                row = (seq, field, J.clean(r.path), r.parent if r.parent is None else J.clean(r.parent), J.clean(kind), shape, r.element, J.clean(r.element_parent))
+                yield (*row, list(_fields(r.value, lone).items())) if values else row
 
+    router = Router()
     return map_rows(_once(messages), ["seq", "data_json", "evidence_json"], NODE + (", fields map<string,string>" if values else ""), rows)
 
 
+def elements(nodes: DataFrame) -> DataFrame:
+    """(seq, field, node_path, parent_path) of the elements of arrays alone, each with the nearest one around it."""
+    return nodes.filter("element").select("seq", "field", "node_path", F.col("element_parent").alias("parent_path"))
+
+
 def _plural(name: str) -> str:
     return f"{name}s" if name not in SUBTYPES and f"{name}s" in SUBTYPES else name
 
 
-@lru_cache(65_536)
-def _accepting(layer: frozenset[tuple[str, str]]) -> tuple[str, ...]:
-    """The subtypes that accept the states with this outer layer: fields with the kinds of their values."""
-    kinds = dict(layer)
-    fits = lambda must, may: must.keys() <= kinds.keys() <= must.keys() | may.keys() and all(kinds[k] in (t, "null") for k, t in (must | may).items() if k in kinds)
-    return tuple(name for name, (must, may) in ACCEPTED.items() if fits(must, may))
+class Router:
+    """From states to subtypes: which subtypes accept a state is decided once, by the layer its last transition read."""
 
+    #: States that are remembered; there are as many as shapes, so rare ones may come and go.
+    MOST = 100_000
 
-def accepting(value: object) -> tuple[str, ...]:
-    return _accepting(frozenset((k, J.kind(v)) for k, v in value.items())) if isinstance(value, dict) and 2 <= len(value) <= MOST_FIELDS else ()
+    def __init__(self):
+        self.layers: dict[str, dict[str, str]] = {}
+        self._accepting: dict[str, tuple[str, ...]] = {}
 
+    def forget(self) -> None:
+        """Begin anew where there are too many states; those of the next value are met again."""
+        if len(self.layers) > self.MOST:
+            self.layers.clear()
+            self._accepting.clear()
 
-def subtype_of(name: str, value: object) -> str:
-    """The table of a record: the one subtype that accepts its state; of several the one its name says.
+    def accepting(self, shape: str) -> tuple[str, ...]:
+        found = self._accepting.get(shape)
+        if found is None:
+            found = self._accepting[shape] = accepting(self.layers[shape]) if shape[0] == "o" else ()
+        return found
+
+    def subtype_of(self, name: str, shape: str) -> str:
+        """The table of a record: the one subtype that accepts its state; of several the one its name says.
+
+        Where no subtype accepts the state, or several do and the name says none of them, the name decides alone. A
+        name that is no subtype's goes to the records of no known type.
+        """
+        fits, named = self.accepting(shape), _plural(name)
+        return fits[0] if len(fits) == 1 else named
 
-    Where no subtype accepts the state, or several do and the name says none of them, the name decides alone. A
-    name that is no subtype's goes to the records of no known type.
-    """
-    fits, named = accepting(value), _plural(name)
-    return fits[0] if len(fits) == 1 else named
 
+def accepting(kinds: dict[str, str]) -> tuple[str, ...]:
+    """The subtypes that accept a state with these fields and kinds."""
 
-def _is_lone(name: str, value: object) -> bool:
-    """Whether an object under this key is a record of its own outside an array, too."""
-    return _plural(name) in SUBTYPES or len(accepting(value)) == 1
+    def fits(must: dict[str, str], may: dict[str, str]) -> bool:
+        return must.keys() <= kinds.keys() <= must.keys() | may.keys() and all(kinds[k] in (t, "null") for k, t in (must | may).items() if k in kinds)
+
+    return tuple(name for name, (must, may) in ACCEPTED.items() if fits(must, may))
 
 
 def _record_type(of: str, field: str) -> str:
@@ -130,8 +154,8 @@ def _record_type(of: str, field: str) -> str:
     return name or ("anchors" if field == "evidence_json" else "items")
 
 
-def _fields(value: object, whole: bool = False) -> dict[str, str | None]:
-    """Values by dotted name; arrays of scalars as JSON, arrays with objects and, if ``whole``, lone records left out."""
+def _fields(value: object, lone: Callable[[str, dict], bool]) -> dict[str, str | None]:
+    """Values by dotted name; arrays of scalars as JSON, arrays with objects and records of their own left out."""
     if not isinstance(value, dict):
         return {"": J.text_of(value) if value is None else J.clean(J.text_of(value))}
     out: dict[str, str | None] = {}
@@ -141,7 +165,7 @@ def _fields(value: object, whole: bool = False) -> dict[str, str | None]:
         for k, x in v.items():
             x, name = J.opened(x), J.clean(f"{at}{k}")
             if isinstance(x, dict):
-                if not (whole and _is_lone(k, x)):
+                if not lone(k, x):
                     todo.append((f"{name}.", x))
             elif not (isinstance(x, list) and not J.is_flat(x)):
                 out[name] = J.clean(t) if (t := J.text_of(x)) is not None else None

@@ -56,24 +56,24 @@ def p3_report(s, d):
 
 
 def p4_found(s, d):
-    return nested.flatten(table(s, d, "messages"), values=False).select("seq", "field", "node_path", "parent_path")
+    return nested.elements(nested.flatten(table(s, d, "messages"), values=False, elements=True))
 
 
 def p4_shapes(s, d):
-    return nested.shapes(nested.flatten(table(s, d, "messages"), values=False, whole=True))
+    return nested.shapes(nested.flatten(table(s, d, "messages"), values=False))
 
 
 def _subtype(name: str):
     def query(s, d):
         more = F.array_sort(F.map_entries("more"))
-        return nested.subtype(nested.flatten(table(s, d, "messages"), whole=True), name).withColumn("more", F.to_json(F.map_from_entries(more)))
+        return nested.subtype(nested.flatten(table(s, d, "messages")), name).withColumn("more", F.to_json(F.map_from_entries(more)))
 
     return query
 
 
 def p4_others(s, d):
     fields = F.array_sort(F.map_entries("fields"))
-    return nested.others(nested.flatten(table(s, d, "messages"), whole=True)).withColumn("fields", F.to_json(F.map_from_entries(fields)))
+    return nested.others(nested.flatten(table(s, d, "messages"))).withColumn("fields", F.to_json(F.map_from_entries(fields)))
 
 
 def p5_found(s, d):

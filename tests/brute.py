@@ -55,7 +55,6 @@ def array_objects(messages):
 
 
 def json_type(v):
-    v = opened(v)
     return {type(None): None, bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}[type(v)]
 
 

@@ -145,7 +145,11 @@ def test_flatten_and_drift_beside_brute_force(spark, middle):
 
 
 def nodes(spark, data=None, evidence=None):
-    return {(r.field, r.node_path, r.parent_path) for r in nested.flatten(frame(spark, "messages", [message(1, data_json=data, evidence_json=evidence)])).collect()}
+    every = nested.flatten(frame(spark, "messages", [message(1, data_json=data, evidence_json=evidence)]))
+    only = nested.flatten(frame(spark, "messages", [message(1, data_json=data, evidence_json=evidence)]), elements=True)
+    got = {(r.field, r.node_path, r.parent_path) for r in nested.elements(only).collect()}
+    assert got == {(r.field, r.node_path, r.parent_path) for r in nested.elements(every).collect()}
+    return got
 
 
 def test_flatten_paths(spark):
@@ -167,13 +171,14 @@ def test_subtypes_keep_links_and_what_does_not_fit(spark):
     odd = steps["$.findings[0].steps[1]"]
     assert odd.n is None and odd.more == {"n": "one", "odd.k": "2"}
     assert nested.subtype(n, "findings").first().tags == ["a", "b"]
+    assert len({(r.record_type, r.shape) for r in n.filter("record_type = 'steps'").collect()}) == 2
     assert sum(df.count() for df in nested.route(n).values()) == n.count()
 
 
 def test_typed_tables_hold_what_stands_outside_arrays(spark):
     data = {"summary": "s", "confidence": 0.5, "open": ["q"], "task": {"title": "t", "limits": {"max_requests": 9, "windows": [{"from": 1, "to": 2}]}}, "outcome": json.dumps({"status": "done"}), "finding": {"id": "L", "steps": [{"n": 1}]}, "findings": [{"id": "F"}, "only text", [["deep text", None]]]}
     evidence = ["notes/a.txt", None, {"ref": "r"}]
-    n = nested.flatten(frame(spark, "messages", [message(1, data_json=json.dumps(data), evidence_json=json.dumps(evidence)), message(2, data_json='"lone"', evidence_json='"lone.txt"'), message(3, data_json="null", evidence_json="{")]), whole=True)
+    n = nested.flatten(frame(spark, "messages", [message(1, data_json=json.dumps(data), evidence_json=json.dumps(evidence)), message(2, data_json='"lone"', evidence_json='"lone.txt"'), message(3, data_json="null", evidence_json="{")]))
     rows = {(r.seq, r.field, r.node_path): r for r in n.collect()}
     assert {(seq, p, r.parent_path, r.record_type) for (seq, f, p), r in rows.items() if f == "data_json"} == {
         (1, "$", None, "bodies"), (1, "$.task", "$", "tasks"), (1, "$.task.limits.windows[0]", "$.task", "windows"), (1, "$.outcome", "$", "outcomes"), (1, "$.finding", "$", "findings"),
@@ -194,7 +199,7 @@ def test_typed_tables_hold_what_stands_outside_arrays(spark):
 def test_states_route_records_whatever_their_array_is_called(spark):
     call, step, span = {"path": "/x", "status": 200}, {"n": 1, "action": "a"}, {"from": 1, "to": 2}
     data = {"requests": [call], "findings": [step, {"id": 1}], "job": {"title": "t", "targets": []}, "spans": [span], "windows": [span], "ranges": [span], "odd": [{"k": 1}]}
-    n = nested.flatten(frame(spark, "messages", [message(1, data_json=json.dumps(data), evidence_json=None)]), whole=True)
+    n = nested.flatten(frame(spark, "messages", [message(1, data_json=json.dumps(data), evidence_json=None)]))
     assert {(r.node_path, r.record_type) for r in n.collect()} == {
         ("$", "bodies"), ("$.requests[0]", "calls"), ("$.findings[0]", "steps"), ("$.findings[1]", "findings"), ("$.job", "tasks"),
         ("$.spans[0]", "spans"), ("$.windows[0]", "windows"), ("$.ranges[0]", "ranges"), ("$.odd[0]", "odd"),
@@ -216,6 +221,16 @@ def test_states_and_texts_of_deep_values():
         return leaf
 
     assert J.state(deep(1, 300)) != J.state(deep("1", 300)) and J.state(deep(1, 300)) == J.state(deep(2, 300))
+    assert J.read("[" * 50_000 + "7" + "]" * 50_000) is not J.INVALID and J.read("[" * 50_000 + "7" + "]" * 49_999) is J.INVALID
+    assert J.canonical(J.read('{"a":[' * 30_000 + "1" + "]}" * 30_000)) == '{"a":[' * 30_000 + "1" + "]}" * 30_000
+    for text in ('{"a":[1,2,{"b":null}],"c":"x\\u0041"}', " [ ] ", '"x"', "[1,]", '{"a"}', "[1 2]", '{"a":1,}', "01", "-", "1.5e3", "tru", "[true,false,null]", '{"a":{},"b":[]}', "", '{"a":NaN}', "[1]x", "{1:2}", '["\n"]'):
+        try:
+            want = json.loads(text, parse_constant=J._refuse)
+        except ValueError:
+            with pytest.raises(ValueError):
+                J._read_deep(text)
+        else:
+            assert J._read_deep(text) == want
     assert J.canonical(deep(1, 40_000)) != J.canonical(deep(2, 40_000))
     assert J.canonical(deep('{"b": 1.5, "a": [null, "ü"]}', 40_000)) == '{"a":[' * 40_000 + '{"a":[null,"ü"],"b":1.5}' + "]}" * 40_000
 
