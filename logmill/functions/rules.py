@@ -170,9 +170,9 @@ def path_allowed(root: Column, path: Column) -> Column:
     return F.coalesce((r == "/") | (r == p) | p.startswith(F.concat(r, F.lit("/"))), F.lit(False)) & p.isNotNull()
 
 
-def session_agent_id(session: Column) -> Column:
-    """FN7: an agent id made from a session's id, so that a retried task makes the same one."""
-    return F.concat(F.lit("a"), F.substring(F.sha2(session, 256), 1, 16))
+def session_agent_id(engagement: Column, session: Column) -> Column:
+    """FN7: an agent id made from a session's id and its engagement, so that a retried task makes the same one."""
+    return F.concat(F.lit("a"), F.substring(F.sha2(F.concat(engagement, F.lit("/"), session), 256), 1, 16))
 
 
 def stamp(time: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmill.operators.inbox import envelope_text
-from logmill.plans.skew import previous_in_group
+from logmill.plans.skew import join_one, previous_in_group
 
 
 def blocks(log: DataFrame) -> DataFrame:
@@ -44,30 +47,51 @@ def recover(lines: DataFrame) -> DataFrame:
     return previous_in_group(seen, "source", "line_no", "header", "open").groupBy("source").agg(F.coalesce(F.max(F.when(F.col("end"), F.col("open"))), F.lit(0).cast("long")).alias("cursor"))
 
 
-def fold(checkpoints: Column, delivered: Column) -> Column:
-    """STR3, JON8, FLT17: the cursor after ordered checkpoints.
+#: What a session's entries say that they are.
+CHECKPOINT = "cursor"
+
+
+def session_checkpoints(entries: DataFrame, names: tuple[str, ...] = (CHECKPOINT,)) -> DataFrame:
+    """FLT17: (agent_id, position, after, cursor, seqs) of the entries that are checkpoints of the session itself.
 
-    Each is struct(after, cursor, seqs). It counts if 0 <= after <= the cursor so far, cursor >= after, and every
-    seq of it was delivered; the cursor never goes back.
+    ``entries``: agent_id and engagement of the session, position, type, name, and of the entry's data agent, of
+    (its engagement), after, cursor, seqs. Other types and names, and data of another agent or engagement, are no
+    checkpoints of it.
     """
-    return F.aggregate(
-        checkpoints,
-        F.lit(0).cast("long"),
-        lambda at, c: F.when((c["after"] >= 0) & (c["after"] <= at) & (c["cursor"] >= c["after"]) & F.forall(c["seqs"], lambda s: F.array_contains(delivered, s)), F.greatest(at, c["cursor"])).otherwise(at),
-    )
+    own = (F.col("type") == "custom") & F.col("name").isin(*names) & (F.col("agent") == F.col("agent_id")) & (F.col("of") == F.col("engagement"))
+    return entries.filter(own).select("agent_id", "position", "after", "cursor", "seqs")
 
 
 def recovered_cursors(checkpoints: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """STR3 for many agents: (agent_id, cursor).
+    """STR3, JON8: (agent_id, cursor): the cursor of each agent after its checkpoints in order of position.
 
-    ``checkpoints``: agent_id, position, after, cursor, seqs; ``deliveries``: agent_id, seq. Which seqs were delivered
-    (AGG8) is found by an equi-join and not by sets. The fold itself goes in order, so an agent's checkpoints, three
-    numbers for each page that its session read, meet in one row.
+    ``checkpoints``: agent_id, position, after, cursor, seqs; ``deliveries``: agent_id, seq. A checkpoint counts if
+    0 <= after <= the cursor so far, cursor >= after, and every seq of it was delivered (AGG8), which an equi-join
+    finds; the cursor never goes back. Null fields and seqs do not count. The fold itself has an order: an agent's
+    checkpoints pass through one task as a stream, of which it keeps one number.
     """
     key = ["agent_id", "position"]
     named = checkpoints.select(*key, F.explode("seqs").alias("seq"))
-    lost = named.join(deliveries.select("agent_id", "seq").distinct(), ["agent_id", "seq"], "left_anti").select(*key).distinct()
-    whole = checkpoints.select(*key, "after", "cursor").join(lost, key, "left_anti")
-    lists = whole.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("position", "after", "cursor", F.array().cast("array<bigint>").alias("seqs")))).alias("c"))
-    none = F.array().cast("array<bigint>")
-    return checkpoints.select("agent_id").distinct().join(lists, "agent_id", "left").select("agent_id", F.coalesce(fold(F.col("c"), none), F.lit(0).cast("long")).alias("cursor"))
+    lost = join_one(named, deliveries.select("agent_id", "seq").distinct(), ["agent_id", "seq"], "left_anti").select(*key).distinct()
+    good = F.col("seqs").isNotNull() & (F.col("after") >= 0) & (F.col("cursor") >= F.col("after"))
+    marked = checkpoints.select(*key, "after", "cursor", F.coalesce(good, F.lit(False)).alias("good")).join(lost.withColumn("lost", F.lit(True)), key, "left")
+    steps = marked.select("agent_id", "position", "after", "cursor", (F.col("good") & F.col("lost").isNull()).alias("ok"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        agent, at, begun = None, 0, False
+        for batch in batches:
+            ids, cursors = [], []
+            for name, after, cursor, ok in zip(*[batch.column(c).to_pylist() for c in (0, 2, 3, 4)]):
+                if not begun or name != agent:
+                    if begun:
+                        ids.append(agent)
+                        cursors.append(at)
+                    agent, at, begun = name, 0, True
+                if ok and after <= at < cursor:
+                    at = cursor
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(cursors, pa.int64())], names=["agent_id", "cursor"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([agent], pa.string()), pa.array([at], pa.int64())], names=["agent_id", "cursor"])
+
+    ordered = steps.repartition("agent_id").sortWithinPartitions("agent_id", "position")
+    return ordered.mapInArrow(fold, "agent_id string, cursor bigint")

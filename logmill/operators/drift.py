@@ -7,12 +7,15 @@ feed into one table per record type.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logmill.functions import jsontree as J
 from logmill.functions.batches import map_rows
+from logmill.operators.migrate import ADDED
 from logmill.plans.scratch import Scratch
 from logmill.plans.skew import join_one
 from logmill.sources.tables import columns
@@ -75,8 +78,24 @@ def versions(prints: DataFrame, files: DataFrame) -> DataFrame:
     return counted.select(*FILE, "field", types.alias("types")).join(files, FILE)
 
 
+@dataclass
+class History:
+    """The files of some feeds: (feed, file_name, version), their fields as in ``versions``, and what changed."""
+
+    files: DataFrame
+    fields: DataFrame
+    changes: DataFrame
+
+
 def changes(dump_rows: DataFrame) -> DataFrame:
-    """(feed, file_name, version, change, field, old_field): each change between a file and the one before it.
+    """The changes of ``history``."""
+    return history(dump_rows).changes
+
+
+def history(dump_rows: DataFrame) -> History:
+    """Every file's version and fields, and each change between a file and the one before it.
+
+    Changes are (feed, file_name, version, change, field, old_field).
 
     ``renamed`` if at least two records in both files have values under the gone and the new name and more than
     half of these pairs are equal. Where several names qualify, a gone and a new field are matched if each is the
@@ -104,7 +123,7 @@ def changes(dump_rows: DataFrame) -> DataFrame:
 
     added = plain(new.join(pairs.select(*key, F.col("new").alias("field")), [*key, "field"], "left_anti"), "added")
     removed = plain(gone.join(pairs.select(*key, F.col("gone").alias("field")), [*key, "field"], "left_anti"), "removed")
-    return renamed.unionByName(added).unionByName(removed).unionByName(plain(retyped, "retyped"))
+    return History(files, seen, renamed.unionByName(added).unionByName(removed).unionByName(plain(retyped, "retyped")))
 
 
 def _renames(dump_rows: DataFrame, files: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
@@ -190,10 +209,55 @@ def canonical_names(dump_rows: DataFrame, found: DataFrame) -> DataFrame:
     return map_rows(steps.join(feeds, "feed"), ["feed", "record_type", "steps"], "feed string, since int, until int, name string, target string", rows)
 
 
+#: What the JSON type of a column's values is.
+WRITTEN = {"bigint": "integer", "int": "integer", "string": "string"}
+
+
+def _columns(record_type: str) -> dict[str, str]:
+    """The columns that come from the records; engagement and arrival are not exported."""
+    return {n: t for n, t in columns(record_type).items() if n not in ("engagement", "arrived_at")}
+
+
+def steps(seen: History, names: DataFrame, record_type: str) -> DataFrame:
+    """(feed, file_name, step, field, target): the rules that a file's records pass on their way into the table.
+
+    ``rename`` to a column's name; ``cast`` where most values have another JSON type than the column, target its type;
+    ``default`` for a column that the file lacks and older versions have a value for, target the value; ``extra``
+    for a field that the table lacks. One row a field of a file, whatever the number of records.
+    """
+    table = _columns(record_type)
+    at = names.select("feed", F.col("name").alias("field"), "target", "since", "until")
+    found = seen.fields.join(at, ["feed", "field"], "left").filter("since is null or (version >= since and version < until)")
+    left = seen.fields.join(found.select(*FILE, "field"), [*FILE, "field"], "left_anti")  # its chains are those of other versions
+    named = found.select(*FILE, "field", "types", F.coalesce("target", "field").alias("target")).unionByName(left.select(*FILE, "field", "types", F.col("field").alias("target")))
+    kinds = F.create_map(*[F.lit(x) for p in table.items() for x in p])
+    written = F.create_map(*[F.lit(x) for n, t in table.items() for x in (n, WRITTEN[t])])
+    kind, want = F.element_at(kinds, F.col("target")), F.element_at(written, F.col("target"))
+
+    def step(df: DataFrame, name: str, target: Column) -> DataFrame:
+        return df.select(*FILE, F.lit(name).alias("step"), "field", target.alias("target"))
+
+    renamed = step(named.filter("field <> target"), "rename", F.col("target"))
+    cast = step(named.filter(kind.isNotNull() & (F.size("types") > 0) & ~F.array_contains("types", want)), "cast", kind)
+    extra = step(named.filter(kind.isNull()), "extra", F.lit(""))
+    rules = [F.struct(F.lit(n).alias("field"), F.lit(str(v)).alias("value")) for n, (_, v) in ADDED[record_type].items() if v is not None]
+    every = seen.files.select(*FILE, F.explode(F.array(*rules)).alias("d")).select(*FILE, F.col("d.field").alias("field"), F.col("d.value").alias("value"))
+    default = step(every.join(named.select(*FILE, F.col("target").alias("field")), [*FILE, "field"], "left_anti"), "default", F.col("value"))
+    return renamed.unionByName(cast).unionByName(default).unionByName(extra)
+
+
+def migrations(dump_rows: DataFrame, record_type: str) -> DataFrame:
+    """The ``steps`` of every file of a record type."""
+    rows_in = dump_rows.filter(F.col("record_type") == record_type)
+    seen = history(rows_in)
+    return steps(seen, canonical_names(rows_in, Scratch(dump_rows.sparkSession, "steps").write(seen.changes, "changes")), record_type)
+
+
 def unify(dump_rows: DataFrame, record_type: str) -> DataFrame:
     """One consistent table of all files of a record type.
 
-    Every line is routed through its feed's chain of renames and cast to the columns of the type's table; a value
+    Every line is routed through the ``steps`` of its file: the chained renames of its feed, casts to the columns of the
+    type's table, and defaults of columns that the whole file lacks (not of values that a record lacks). A value
     that does not fit and every field the table lacks stay in ``extra`` as text. Of two fields of a line that belong
     into one column, the one that has its name, else the first by name, with a value gets it, and the other stays in
     ``extra`` under its own name. Columns: dump_id, feed, file_name,
@@ -202,13 +266,15 @@ def unify(dump_rows: DataFrame, record_type: str) -> DataFrame:
     """
     rows_in = dump_rows.filter(F.col("record_type") == record_type)
     scratch = Scratch(dump_rows.sparkSession, "unify")
-    found = scratch.write(changes(rows_in), "changes")
-    names = canonical_names(rows_in, found)
-    per_file = numbered_files(rows_in).join(names, "feed").filter("version >= since and version < until").groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", "target"))).alias("renames"))
+    seen = history(rows_in)
+    names = scratch.write(canonical_names(rows_in, scratch.write(seen.changes, "changes")), "names")
+    rules = scratch.write(steps(seen, names, record_type), "steps").filter("step in ('rename', 'default')")
+    chosen = [F.map_from_entries(F.collect_list(F.when(F.col("step") == s, F.struct("field", "target")))).alias(a) for s, a in (("rename", "renames"), ("default", "defaults"))]
+    per_file = rules.groupBy(*FILE).agg(*chosen)
     once = rows_in.groupBy(F.coalesce("feed", F.lit("")).alias("feed"), F.coalesce("file_name", F.lit("")).alias("file_name"), "line_no", F.xxhash64("body").alias("h")).agg(F.min("dump_id").alias("dump_id"), F.min("exported_at").alias("exported_at"), F.min("body").alias("body"))
     lines = join_one(once, per_file, FILE, "left")
 
-    def rows(dump_id: int, feed: str, file_name: str, exported_at: object, line_no: int | None, body: str | None, renames: list | None):
+    def rows(dump_id: int, feed: str, file_name: str, exported_at: object, line_no: int | None, body: str | None, renames: list | None, defaults: list | None):
         value = J.read_open(body)
         names = dict(renames or ())
         fields: dict[str, str | None] = {}
@@ -227,10 +293,12 @@ def unify(dump_rows: DataFrame, record_type: str) -> DataFrame:
             while fields.get(name) is not None:  # another field was renamed to this one's own name
                 name += "_"
             fields[name] = texts[k]
+        if isinstance(value, dict):
+            fields = dict(defaults or ()) | fields
         yield dump_id, feed, file_name, exported_at, line_no, list(fields.items())
 
-    out = map_rows(lines, ["dump_id", "feed", "file_name", "exported_at", "line_no", "body", "renames"], "dump_id bigint, feed string, file_name string, exported_at timestamp_ntz, line_no int, fields map<string,string>", rows)
-    typed = {n: F.element_at("fields", F.lit(n)).try_cast(t) for n, t in columns(record_type).items() if n not in ("engagement", "arrived_at")}
+    out = map_rows(lines, ["dump_id", "feed", "file_name", "exported_at", "line_no", "body", "renames", "defaults"], "dump_id bigint, feed string, file_name string, exported_at timestamp_ntz, line_no int, fields map<string,string>", rows)
+    typed = {n: F.element_at("fields", F.lit(n)).try_cast(t) for n, t in _columns(record_type).items()}
     fits = lambda k, v: F.coalesce(*[F.when(k == n, c.isNotNull() | v.isNull()) for n, c in typed.items()], F.lit(False))
     extra = F.map_filter("fields", lambda k, v: ~fits(k, v))
     return out.select("dump_id", "feed", "file_name", "exported_at", "line_no", *[c.alias(n) for n, c in typed.items()], extra.alias("extra"))

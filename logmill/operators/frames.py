@@ -15,8 +15,9 @@ NOTE_BYTES = 8192
 BATCH = 4
 COMMANDS = ["scope", "register", "message", "inbox", "peers", "project", "show", "dispatch"]
 HEADER_BYTES = 2048
-#: What a machine-authored header line begins with; a deployment names its own.
+#: What a machine-authored header line begins with, now and in older versions; a deployment names its own.
 MARK = "Agent-Task:"
+OLDER_MARKS = ("AgentJob-Task:",)
 
 
 def _type(v: Column) -> Column:
@@ -94,13 +95,16 @@ def task_headers(prompts: DataFrame, mark: str = MARK) -> DataFrame:
     return prompts.select("*", F.when(ok, get["role"]).alias("role"), F.when(ok, get["parent"]).alias("parent"), F.when(ok, get["engagement_dir"]).alias("folder"), problem.alias("problem"))
 
 
-def batches(items: DataFrame, mark: str = MARK) -> DataFrame:
+def batches(items: DataFrame, marks: tuple[str, ...] = (MARK, *OLDER_MARKS)) -> DataFrame:
     """FLT14: (batch, items, accepted): a batch of 1 to 4 items is accepted whole or refused whole.
 
-    ``items``: batch, role, task, model, route_model. Known role, non-blank text without a forged header, and no
-    other model than the route's.
+    ``items``: batch, role, task, model, route_model. Known role, non-blank text without a forged header of any
+    version, and no other model than the route's.
     """
-    good = F.col("role").isin(*ROLES) & (R.strip(F.col("task")) != "") & ~F.concat(F.lit("\n"), "task").contains(f"\n{mark}") & (F.col("model").isNull() | (F.col("model") == F.col("route_model")))
+    forged = F.lit(False)
+    for mark in marks:
+        forged |= F.concat(F.lit("\n"), "task").contains(f"\n{mark}")
+    good = F.col("role").isin(*ROLES) & (R.strip(F.col("task")) != "") & ~forged & (F.col("model").isNull() | (F.col("model") == F.col("route_model")))
     all_good = F.bool_and(F.coalesce(good, F.lit(False)))
     return items.groupBy("batch").agg(F.count(F.lit(1)).alias("items"), (all_good & (F.count(F.lit(1)) <= BATCH)).alias("accepted"))
 
@@ -126,6 +130,11 @@ def valid_catalog(catalogs: DataFrame, version: int = 4) -> DataFrame:
     return catalogs.select("*", F.coalesce(rule, F.lit(False)).alias("valid"))
 
 
+def named_twice(overrides: DataFrame, group: str) -> DataFrame:
+    """AGG8: (group, name) of the overrides that are named more than once, which refuses them."""
+    return overrides.filter("name is not null").groupBy(group, "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(group, "name")
+
+
 def missing(required: Column, packaged: Column) -> Column:
     """SET2: what is required and not packaged, in order."""
     return F.array_sort(F.array_except(required, packaged))

@@ -19,26 +19,36 @@ def known(members: DataFrame) -> DataFrame:
     return members.filter(R.valid_agent_id(F.col("agent_id")) & F.col("role").isin(*ROLES, MAIN))
 
 
+def addresses(members: DataFrame) -> DataFrame:
+    """(engagement, agent_id, recipient): the two addresses of each known agent, its id and its role's topic."""
+    return known(members).select("engagement", "agent_id", F.explode(F.array("agent_id", F.concat(F.lit("@"), "role"))).alias("recipient"))
+
+
 def fanout(log: DataFrame, members: DataFrame) -> DataFrame:
     """JON1, JON6, FLT3: (engagement, agent_id, seq) of every delivery of an unarchived message.
 
     Each agent has two addresses, its id and its role's topic; exploding them turns the OR of the rule into one
     equi-join. A sender receives its own topic message, as no rule excludes it.
     """
-    address = known(members).select("engagement", "agent_id", F.explode(F.array("agent_id", F.concat(F.lit("@"), "role"))).alias("recipient"))
     live = log.filter("archived = 0").select("engagement", "recipient", "seq")
     # A topic may be most of a log: its messages are salted, its few members are repeated for each salt.
-    return join_one(live, address, ["engagement", "recipient"]).select("engagement", "agent_id", "seq")
+    return join_one(live, addresses(members), ["engagement", "recipient"]).select("engagement", "agent_id", "seq")
 
 
 def receivers(log: DataFrame, members: DataFrame) -> DataFrame:
     """FLT3: (seq, receivers) of every message, counted from the addresses, not from the deliveries."""
-    address = known(members).select("engagement", F.explode(F.array("agent_id", F.concat(F.lit("@"), "role"))).alias("recipient"))
-    sizes = address.groupBy("engagement", "recipient").agg(F.count(F.lit(1)).alias("n"))
+    sizes = addresses(members).groupBy("engagement", "recipient").agg(F.count(F.lit(1)).alias("n"))
     both = join_one(log.select("seq", "engagement", "recipient", "archived"), sizes, ["engagement", "recipient"], "left")
     return both.select("seq", F.when(F.col("archived") == 0, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("receivers"))
 
 
+def delivered(log: DataFrame, members: DataFrame) -> DataFrame:
+    """AGG8: (agent_id, delivered): how many messages each agent received, added up from its addresses. Agents without
+    any give no row."""
+    held = log.filter("archived = 0").groupBy("engagement", "recipient").agg(F.count(F.lit(1)).alias("n"))
+    return join_one(addresses(members), held, ["engagement", "recipient"]).groupBy("agent_id").agg(F.sum("n").alias("delivered"))
+
+
 def refs(evidence: Column) -> Column:
     """The refs of an evidence array; a lone object is an array of one; elements without a ref are left out."""
     v = F.try_parse_json(evidence)
@@ -47,29 +57,35 @@ def refs(evidence: Column) -> Column:
     return F.coalesce(F.array_compact(F.when(F.schema_of_variant(v).startswith("OBJECT"), lone).otherwise(listed)), F.array().cast("array<string>"))
 
 
-def _quoted(c: Column) -> Column:
-    return F.concat(F.lit('"'), c, F.lit('"'))
+def _json(c: Column) -> Column:
+    """A string or an array of strings as JSON; null stays null."""
+    if_one = F.to_json(F.array(c))
+    return F.when(c.isNotNull(), F.substring(if_one, F.lit(2), F.length(if_one) - 2))
 
 
 def envelope_text(df: DataFrame) -> Column:
-    """PRO1: the envelope as JSON with sorted keys; data as it is stored; absent keys are absent, not null."""
+    """PRO1: the envelope as JSON with sorted keys; absent keys are absent, not null. data stands as it is stored, and is
+    absent where that is no JSON."""
     r = refs(F.col("evidence_json"))
     parts = [
-        F.concat(F.lit('"data":'), "data_json"),
-        F.concat(F.lit('"from":'), _quoted(F.col("sender"))),
-        F.concat(F.lit('"kind":'), _quoted(F.col("kind"))),
+        F.when(F.try_parse_json("data_json").isNotNull(), F.concat(F.lit('"data":'), "data_json")),
+        F.concat(F.lit('"from":'), _json(F.col("sender"))),
+        F.concat(F.lit('"kind":'), _json(F.col("kind"))),
         F.when(F.size(r) > R.EVIDENCE_REFS, F.concat(F.lit('"more_refs":'), (F.size(r) - R.EVIDENCE_REFS).cast("string"))),
-        F.when(F.size(r) > 0, F.concat(F.lit('"refs":['), F.array_join(F.transform(F.slice(r, 1, R.EVIDENCE_REFS), _quoted), ","), F.lit("]"))),
+        F.when(F.size(r) > 0, F.concat(F.lit('"refs":'), F.to_json(F.slice(r, 1, R.EVIDENCE_REFS)))),
         F.when(F.col("reply_to").isNotNull(), F.concat(F.lit('"reply":'), F.col("reply_to").cast("string"))),
         F.concat(F.lit('"seq":'), F.col("seq").cast("string")),
-        F.concat(F.lit('"to":'), _quoted(F.col("recipient"))),
+        F.concat(F.lit('"to":'), _json(F.col("recipient"))),
     ]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def stub_text() -> Column:
     """What is delivered for an envelope that is too large."""
-    return F.concat(F.lit(f'{{"data":{{"archive":"{ARCHIVE_NAME}","legacy_message":'), F.col("seq").cast("string"), F.lit('},"from":"'), "sender", F.lit('","kind":"'), "kind", F.lit('","seq":'), F.col("seq").cast("string"), F.lit(',"to":"'), "recipient", F.lit('"}'))
+    seq = F.col("seq").cast("string")
+    ends = [F.concat(F.lit(f'"{k}":'), _json(F.col(c))) for k, c in (("from", "sender"), ("kind", "kind"))]
+    data = F.concat(F.lit(f'"data":{{"archive":"{ARCHIVE_NAME}","legacy_message":'), seq, F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", data, *ends, F.concat(F.lit('"seq":'), seq), F.concat(F.lit('"to":'), _json(F.col("recipient")))), F.lit("}"))
 
 
 def envelopes(log: DataFrame) -> DataFrame:
@@ -86,12 +102,18 @@ def check_page(after: int, limit: int) -> None:
 
 
 def _fetched(log: DataFrame, members: DataFrame, after: int, limit: int) -> DataFrame:
+    """The first ``limit`` + 1 messages of every agent after the cursor, found address by address: no message is
+    delivered to more agents than will look at it, and only messages that are fetched are sized."""
     check_page(after, limit)
     newer = log.filter(F.col("seq") > after)
+    here = Window.partitionBy("engagement", "recipient").orderBy("seq")
+    # row_number <= k is cut on the map side already (WindowGroupLimit), so an address brings k rows a task.
+    heads = newer.filter("archived = 0").select("engagement", "recipient", "seq").withColumn("place", F.row_number().over(here)).filter(F.col("place") <= limit + 1).drop("place")
     mine = Window.partitionBy("engagement", "agent_id").orderBy("seq")
-    # row_number <= k is cut on the map side already (WindowGroupLimit), so an agent brings k rows a task.
-    few = fanout(newer, members).withColumn("position", F.row_number().over(mine)).filter(F.col("position") <= limit + 1)
-    sized = few.join(envelopes(newer).select("seq", "delivered_bytes"), "seq")
+    # A topic may be read by most agents: they are salted, its few messages are repeated for each salt.
+    few = join_one(addresses(members), heads, ["engagement", "recipient"]).select("engagement", "agent_id", "seq").withColumn("position", F.row_number().over(mine)).filter(F.col("position") <= limit + 1)
+    sizes = envelopes(newer.join(heads.select("seq"), "seq", "left_semi")).select("seq", "delivered_bytes")
+    sized = join_one(few, sizes, ["seq"])
     total = R.PAGE_FIXED_BYTES + F.sum(F.col("delivered_bytes") + 1).over(mine.rowsBetween(Window.unboundedPreceding, 0))
     return sized.withColumn("delivered", (total <= R.PAGE_BYTES) & (F.col("position") <= limit))
 

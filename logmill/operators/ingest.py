@@ -9,18 +9,20 @@ from logmill.functions import rules as R
 from logmill.plans.skew import first_by, join_one
 from logmill.sources.views import MAIN, ROLES
 
+#: What a key belongs to: each engagement is a log of its own.
+KEY = ["engagement", "sender", "dedup_key"]
 #: The fields that make two messages with one key the same message (IDM2, IDM3).
 CONTENT = ["sender", "recipient", "kind", "reply_to", "data_json", "evidence_json", "role", "model"]
 
 
 def first_wins(log: DataFrame) -> DataFrame:
-    """IDM1: the first message of each (sender, dedup_key), and every message without a key.
+    """IDM1: the first message of each (engagement, sender, dedup_key), and every message without a key.
 
     Null keys are no equals, so they are kept apart instead of meeting in one group.
     """
     keyed = log.filter("dedup_key is not null and sender is not null")
-    rest = [c for c in log.columns if c not in ("sender", "dedup_key")]
-    return first_by(keyed, ["sender", "dedup_key"], ["seq"], rest).unionByName(log.filter("dedup_key is null or sender is null").select(*["sender", "dedup_key"], *rest))
+    rest = [c for c in log.columns if c not in KEY]
+    return first_by(keyed, KEY, ["seq"], rest).unionByName(log.filter("dedup_key is null or sender is null").select(*KEY, *rest))
 
 
 def repeats(log: DataFrame) -> DataFrame:
@@ -30,8 +32,8 @@ def repeats(log: DataFrame) -> DataFrame:
     """
     keyed = log.filter("dedup_key is not null and sender is not null")
     content = F.struct(*[F.col(c) for c in CONTENT])
-    first = keyed.groupBy("sender", "dedup_key").agg(F.min(F.struct("seq", content.alias("content"))).alias("f"))
-    both = join_one(keyed.select("seq", "sender", "dedup_key", content.alias("content")), first, ["sender", "dedup_key"]).filter("seq > f.seq")
+    first = keyed.groupBy(*KEY).agg(F.min(F.struct("seq", content.alias("content"))).alias("f"))
+    both = join_one(keyed.select("seq", *KEY, content.alias("content")), first, KEY).filter("seq > f.seq")
     same = F.col("content").eqNullSafe(F.col("f.content"))
     return both.select("seq", F.col("f.seq").alias("first_seq"), same.alias("duplicate"), (~same).alias("conflict"))
 
@@ -109,10 +111,10 @@ def start_events(members: DataFrame) -> DataFrame:
 
 
 def refused_registrations(exports: DataFrame) -> DataFrame:
-    """§1.4: (seq, session_id, first_seq) of registrations that try to change a session's identity."""
+    """§1.4: (seq, session_id, first_seq) of registrations that try to change the identity of a session of their engagement."""
     identity = F.struct("name", "role", "model", "parent", "model_source")
-    first = exports.filter("session_id is not null").groupBy("session_id").agg(F.min(F.struct("seq", identity.alias("identity"))).alias("f"))
-    both = join_one(exports.filter("session_id is not null").select("seq", "session_id", identity.alias("identity")), first, ["session_id"]).filter("seq > f.seq")
+    first = exports.filter("session_id is not null").groupBy("engagement", "session_id").agg(F.min(F.struct("seq", identity.alias("identity"))).alias("f"))
+    both = join_one(exports.filter("session_id is not null").select("seq", "engagement", "session_id", identity.alias("identity")), first, ["engagement", "session_id"]).filter("seq > f.seq")
     return both.filter(~F.col("identity").eqNullSafe(F.col("f.identity"))).select("seq", "session_id", F.col("f.seq").alias("first_seq"))
 
 
@@ -120,5 +122,5 @@ def completions(log: DataFrame, members: DataFrame) -> DataFrame:
     """IDM5: (sender, seq, dedup_key): the first close that each agent sent to its parent, under its computed key."""
     parent = members.filter("parent is not null").select("engagement", F.col("agent_id").alias("sender"), F.col("parent").alias("recipient"))
     closes = log.filter("kind = 'close'").select("engagement", "sender", "recipient", "seq")
-    done = join_one(closes, parent, ["engagement", "sender", "recipient"], "left_semi").groupBy("sender").agg(F.min("seq").alias("seq"))
+    done = join_one(closes, parent, ["engagement", "sender", "recipient"], "left_semi").groupBy("engagement", "sender").agg(F.min("seq").alias("seq"))
     return done.select("sender", "seq", F.concat(F.lit("completion:"), "sender").alias("dedup_key"))

@@ -33,9 +33,11 @@ def manifest(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("action").isin("install", "update", "delete")).select("path", F.col("have").alias("original_sha256"), F.col("want").alias("installed_sha256"))
 
 
-def rollback_gate(records: DataFrame, current: DataFrame) -> DataFrame:
-    """REC4: (records, matching, allowed): a rollback is allowed only if every record's path still has its digest,
-    or is still absent where it was removed. No records: allowed."""
-    both = records.join(current, "path", "left")
-    same = F.col("installed_sha256").eqNullSafe(F.col("digest"))
+def rollback_gate(records: DataFrame, current: DataFrame, backups: DataFrame) -> DataFrame:
+    """REC4: (records, matching, allowed): a rollback is allowed only if every record's path still has its digest, or is
+    still absent where it was removed, and the backup of what was there before still has the digest of that. Both
+    tables have path and digest. No records: allowed."""
+    both = records.join(current, "path", "left").join(backups.select("path", F.col("digest").alias("saved")), "path", "left")
+    whole = F.col("original_sha256").isNull() | F.col("original_sha256").eqNullSafe(F.col("saved"))
+    same = F.col("installed_sha256").eqNullSafe(F.col("digest")) & whole
     return both.agg(F.count(F.lit(1)).alias("records"), F.count_if(same).alias("matching"), F.coalesce(F.bool_and(same), F.lit(True)).alias("allowed"))

@@ -92,6 +92,13 @@ def _unified(record_type: str):
     return query
 
 
+def _steps(record_type: str):
+    def query(s, d):
+        return drift.migrations(table(s, d, "dump_rows"), record_type)
+
+    return query
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_descendants": p2_descendants,
@@ -107,6 +114,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_fingerprints": p5_fingerprints,
     **{f"p5_{t}": _unified(t) for t in ("participants", "messages")},
+    **{f"p5_steps_{t}": _steps(t) for t in ("participants", "messages")},
 }
 
 #: The tree by SQL recursion; a parent chain that comes back to its start is a cycle.
@@ -174,7 +182,45 @@ walk AS (
   FROM walk w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT', 'ARRAY'))
 """
 
+#: Changes of files by plain joins. Renames are matched where each name is the other's best.
+DRIFT = f"""
+WITH files AS (
+  SELECT coalesce(feed, '') AS feed, coalesce(file_name, '') AS file_name, row_number() OVER (PARTITION BY coalesce(feed, '') ORDER BY min(exported_at), coalesce(file_name, '')) AS version FROM dump_rows GROUP BY 1, 2),
+lines AS (SELECT DISTINCT coalesce(feed, '') AS feed, coalesce(file_name, '') AS file_name, line_no, rec_key, body FROM dump_rows),
+bodies AS (SELECT feed, file_name, line_no, rec_key, {opened_sql('j')} AS v FROM (SELECT * EXCLUDE (body), CAST(body AS JSON) AS j FROM lines WHERE json_valid(body))),
+cells AS (
+  SELECT b.feed, b.file_name, f.version, b.line_no, b.rec_key, e.key AS field, CAST({opened_sql('e.value')} AS VARCHAR) AS v,
+    CASE json_type(e.value) WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END AS type
+  FROM (SELECT * FROM bodies WHERE json_type(v) = 'OBJECT') b JOIN files f ON f.feed = b.feed AND f.file_name = b.file_name, json_each(b.v) e),
+counted AS (SELECT feed, file_name, version, field, type, count(*) AS n FROM cells GROUP BY ALL),
+seen AS (
+  SELECT feed, file_name, version, field, coalesce(list(type ORDER BY type) FILTER (type IS NOT NULL AND n = top), []) AS types
+  FROM (SELECT *, max(n) FILTER (type IS NOT NULL) OVER (PARTITION BY feed, version, field) AS top FROM counted) GROUP BY ALL),
+steps AS (
+  SELECT f.feed, f.file_name, f.version, coalesce(a.field, b.field) AS field, a.field IS NULL AS gone, b.field IS NULL AS new, a.types AS now_types, b.types AS before_types
+  FROM seen a FULL JOIN (SELECT feed, version + 1 AS version, field, types FROM seen) b ON b.feed = a.feed AND b.version = a.version AND b.field = a.field
+  JOIN files f ON f.feed = coalesce(a.feed, b.feed) AND f.version = coalesce(a.version, b.version) WHERE f.version > 1),
+firsts AS (SELECT feed, version, rec_key, field, arg_min(v, line_no) AS v FROM cells WHERE type IS NOT NULL AND rec_key IS NOT NULL GROUP BY ALL),
+scored AS (
+  SELECT g.feed, g.version, g.field AS gone, n.field AS new, count(*) AS pairs, count(*) FILTER (a.v = b.v) AS equal
+  FROM steps g JOIN steps n ON n.feed = g.feed AND n.version = g.version AND g.gone AND n.new
+  JOIN firsts a ON a.feed = g.feed AND a.version = g.version - 1 AND a.field = g.field JOIN firsts b ON b.feed = n.feed AND b.version = n.version AND b.field = n.field AND b.rec_key = a.rec_key
+  GROUP BY ALL HAVING count(*) >= 2 AND 2 * count(*) FILTER (a.v = b.v) > count(*)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY feed, version, gone ORDER BY equal / pairs DESC, equal DESC, gone, new) AS by_gone, row_number() OVER (PARTITION BY feed, version, new ORDER BY equal / pairs DESC, equal DESC, gone, new) AS by_new FROM scored),
+renamed AS (SELECT * FROM ranked WHERE by_gone = 1 AND by_new = 1),
+changes AS (
+  SELECT r.feed, f.file_name, 'renamed' AS change, r.new AS field, r.gone AS old_field FROM renamed r JOIN files f ON f.feed = r.feed AND f.version = r.version
+  UNION ALL
+  SELECT feed, file_name, CASE WHEN new THEN 'added' WHEN gone THEN 'removed' ELSE 'retyped' END, field, '' FROM steps s
+  WHERE CASE WHEN new THEN NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = s.feed AND r.version = s.version AND r.new = s.field)
+    WHEN gone THEN NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = s.feed AND r.version = s.version AND r.gone = s.field)
+    ELSE len(now_types) > 0 AND len(before_types) > 0 AND NOT list_has_any(now_types, before_types) END)
+"""
+
 SQL = {
+    "p5_found": DRIFT + "SELECT feed, file_name, change, field, old_field FROM changes",
+    "p5_fingerprints": DRIFT + "SELECT feed, file_name, CAST(version AS INT) AS version, field, array_to_string(types, ',') AS types FROM seen",
     "p4_found": WALK + "SELECT seq, field, path AS node_path, parent AS parent_path FROM walk WHERE row",
     "p2_found": TREE + "SELECT agent_id, root_id, depth, path FROM tree",
     "p2_descendants": TREE + "SELECT agent_id, descendant_id, distance FROM closure",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logmill.functions import rules as R
 from logmill.operators import audit, frames, inbox, ingest, migrate, reconcile, scope
-from logmill.plans.skew import join_one, previous_in_group, rank_in_group
+from logmill.plans.skew import join_one
 from logmill.sources.tables import table
 from logmill.sources.views import SQL_VIEWS, exports, log, members
 
@@ -60,13 +60,13 @@ def _values(rows: list[tuple], names: str) -> str:
 # --- ingest ---------------------------------------------------------------------------------------------------------
 
 FIRSTS = """, firsts AS (
-  SELECT *, min(seq) OVER (PARTITION BY sender, dedup_key) AS first_seq FROM log WHERE dedup_key IS NOT NULL AND sender IS NOT NULL)
+  SELECT *, min(seq) OVER (PARTITION BY engagement, sender, dedup_key) AS first_seq FROM log WHERE dedup_key IS NOT NULL AND sender IS NOT NULL)
 """
 
 
 @query(FIRSTS + "SELECT seq, sender, recipient, kind, dedup_key FROM firsts WHERE seq = first_seq UNION ALL SELECT seq, sender, recipient, kind, dedup_key FROM log WHERE dedup_key IS NULL OR sender IS NULL")
 def ingest_first_wins(s, d):
-    return ingest.first_wins(_log(s, d, "sender", "recipient", "kind", "dedup_key")).select("seq", "sender", "recipient", "kind", "dedup_key")
+    return ingest.first_wins(_log(s, d, "engagement", "sender", "recipient", "kind", "dedup_key")).select("seq", "sender", "recipient", "kind", "dedup_key")
 
 
 _SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ingest.CONTENT)
@@ -74,7 +74,7 @@ _SAME = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ingest.CONTENT
 
 @query(FIRSTS + f"SELECT a.seq, a.first_seq, ({_SAME}) AS duplicate, NOT ({_SAME}) AS conflict FROM firsts a JOIN log b ON b.seq = a.first_seq WHERE a.seq > a.first_seq")
 def ingest_conflicts(s, d):
-    return ingest.repeats(_log(s, d, *ingest.CONTENT, "dedup_key"))
+    return ingest.repeats(_log(s, d, *ingest.CONTENT, "engagement", "dedup_key"))
 
 
 @query(
@@ -137,12 +137,12 @@ def register_events(s, d):
 _IDENTITY = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in ("name", "role", "model", "parent", "model_source"))
 
 
-@query(f", f AS (SELECT *, min(seq) OVER (PARTITION BY session_id) AS first_seq FROM exports WHERE session_id IS NOT NULL) SELECT a.seq, a.session_id, a.first_seq FROM f a JOIN exports b ON b.seq = a.first_seq WHERE a.seq > a.first_seq AND NOT ({_IDENTITY})")
+@query(f", f AS (SELECT *, min(seq) OVER (PARTITION BY engagement, session_id) AS first_seq FROM exports WHERE session_id IS NOT NULL) SELECT a.seq, a.session_id, a.first_seq FROM f a JOIN exports b ON b.seq = a.first_seq WHERE a.seq > a.first_seq AND NOT ({_IDENTITY})")
 def registration_conflicts(s, d):
-    return ingest.refused_registrations(exports(table(s, d, "participants"), "session_id", "name", "role", "model", "parent", "model_source"))
+    return ingest.refused_registrations(exports(table(s, d, "participants"), "engagement", "session_id", "name", "role", "model", "parent", "model_source"))
 
 
-@query("SELECT l.sender, min(l.seq) AS seq, 'completion:' || l.sender AS dedup_key FROM log l JOIN members m ON m.engagement = l.engagement AND m.agent_id = l.sender AND m.parent = l.recipient WHERE l.kind = 'close' GROUP BY l.sender")
+@query("SELECT l.sender, min(l.seq) AS seq, 'completion:' || l.sender AS dedup_key FROM log l JOIN members m ON m.engagement = l.engagement AND m.agent_id = l.sender AND m.parent = l.recipient WHERE l.kind = 'close' GROUP BY l.engagement, l.sender")
 def completion_once(s, d):
     return ingest.completions(_log(s, d, "engagement", "sender", "recipient", "kind"), _members(s, d, "engagement", "parent"))
 
@@ -172,13 +172,13 @@ ENVELOPE = """, refs AS (
     THEN list_filter(list_transform(CAST(evidence_json AS JSON[]), lambda x: json_extract_string(x, '$.ref')), lambda r: r IS NOT NULL)
     WHEN json_valid(evidence_json) AND json_type(evidence_json) = 'OBJECT' THEN list_filter([json_extract_string(evidence_json, '$.ref')], lambda r: r IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS r FROM log),
 env AS (
-  SELECT *, '{' || concat_ws(',', '"data":' || data_json, '"from":"' || sender || '"', '"kind":"' || kind || '"',
+  SELECT *, '{' || concat_ws(',', CASE WHEN json_valid(data_json) THEN '"data":' || data_json END, '"from":' || to_json(sender), '"kind":' || to_json(kind),
     CASE WHEN len(r) > 8 THEN '"more_refs":' || (len(r) - 8) END,
-    CASE WHEN len(r) > 0 THEN '"refs":[' || array_to_string(list_transform(r[1:8], lambda x: '"' || x || '"'), ',') || ']' END,
-    CASE WHEN reply_to IS NOT NULL THEN '"reply":' || reply_to END, '"seq":' || seq, '"to":"' || recipient || '"') || '}' AS envelope FROM refs),
+    CASE WHEN len(r) > 0 THEN '"refs":' || to_json(r[1:8]) END,
+    CASE WHEN reply_to IS NOT NULL THEN '"reply":' || reply_to END, '"seq":' || seq, '"to":' || to_json(recipient)) || '}' AS envelope FROM refs),
 sized AS (
   SELECT *, strlen(envelope) AS bytes, CASE WHEN strlen(envelope) > 4096
-    THEN strlen('{"data":{"archive":"agentschat.md","legacy_message":' || seq || '},"from":"' || sender || '","kind":"' || kind || '","seq":' || seq || ',"to":"' || recipient || '"}')
+    THEN strlen('{' || concat_ws(',', '"data":{"archive":"agentschat.md","legacy_message":' || seq || '}', '"from":' || to_json(sender), '"kind":' || to_json(kind), '"seq":' || seq, '"to":' || to_json(recipient)) || '}')
     ELSE strlen(envelope) END AS delivered_bytes FROM env)
 """
 
@@ -361,12 +361,19 @@ def asset_class(s, d):
 
 
 CASES = [("https://h/x", "blackbox"), ("/srv/src", "blackbox"), ("https://h/x", "source"), ("/srv/src", "source"), ("srv/src", "audit"), ("", "audit"), ("https://h/x#f", "patch"), ("HTTPS://H", "development")]
-WANT = ["", "needs_url", "needs_dir", "", "relative", "blank", "fragment", ""]
 
 
-@query("SELECT asset, mode, problem FROM " + _values([(*c, w) for c, w in zip(CASES, WANT)], "asset, mode, problem"), views=False)
+@query(
+    URL_PARTS.replace(f"UNION SELECT url FROM {_values(URLS, 'url')}", f"UNION SELECT asset FROM {_values(CASES, 'asset, mode')}")
+    + f""", am AS (SELECT DISTINCT unnest(assets) AS asset, mode FROM engagements UNION SELECT asset, mode FROM {_values(CASES, 'asset, mode')}),
+k AS (SELECT am.*, regexp_matches(trim(asset), '(?i)^https?://') AS is_url, g.reason FROM am JOIN g ON g.url = am.asset)
+SELECT asset, mode, CASE WHEN trim(asset) = '' THEN 'blank' WHEN mode = 'blackbox' AND NOT is_url THEN 'needs_url' WHEN mode = 'source' AND is_url THEN 'needs_dir'
+  WHEN is_url THEN coalesce(reason, '') WHEN NOT starts_with(trim(asset), '/') THEN 'relative' ELSE '' END AS problem FROM k"""
+)
 def asset_mode_check(s, d):
-    return s.createDataFrame(CASES, "asset string, mode string").select("asset", "mode", F.coalesce(R.asset_problem(F.col("asset"), F.col("mode")), F.lit("")).alias("problem"))
+    """Every asset with the mode of its engagement, and cases that the tables lack."""
+    own = table(s, d, "engagements").select(F.explode("assets").alias("asset"), "mode")
+    return own.union(s.createDataFrame(CASES, "asset string, mode string")).distinct().select("asset", "mode", F.coalesce(R.asset_problem(F.col("asset"), F.col("mode")), F.lit("")).alias("problem"))
 
 
 @query(
@@ -417,9 +424,17 @@ def origin_counts(s, d):
 REFS = [("notes/a.txt", True), ("a/../b", True), ("../x", False), ("a/../../x", False), ("/etc/x", False), ("", False), ("a|b", False), ("./a/./b", True), ("a//b", True), ("x" * 513, False), (None, False)]
 
 
-@query("SELECT ref, safe FROM " + _values(REFS, "ref, safe"), views=False)
+@query(
+    ENVELOPE
+    + f""", v AS (SELECT DISTINCT unnest(r) AS ref FROM refs UNION SELECT ref FROM {_values([r[:1] for r in REFS], 'ref')}),
+p AS (SELECT ref, list_filter(string_split(ref, '/'), lambda x: x NOT IN ('', '.')) AS steps FROM v)
+SELECT ref, coalesce(trim(ref) <> '' AND strlen(ref) <= 512 AND NOT regexp_matches(ref, '[\\r\\n|]') AND NOT starts_with(ref, '/') AND
+  coalesce(list_min(list_transform(range(1, len(steps) + 1), lambda i: list_sum(list_transform(steps[1:i], lambda x: CASE WHEN x = '..' THEN -1 ELSE 1 END)))), 0) >= 0, false) AS safe FROM p"""
+)
 def ref_safe(s, d):
-    return s.createDataFrame([r[:1] for r in REFS], "ref string").select("ref", R.safe_ref(F.col("ref")).alias("safe"))
+    """Every ref of the log's evidence, and cases that it lacks."""
+    own = _log(s, d, "evidence_json").select(F.explode(inbox.refs(F.col("evidence_json"))).alias("ref"))
+    return own.union(s.createDataFrame([r[:1] for r in REFS], "ref string")).distinct().select("ref", R.safe_ref(F.col("ref")).alias("safe"))
 
 
 PATHS = [("/srv/src", "/srv/src", True), ("/srv/src", "/srv/src/a/b", True), ("/srv/src", "/srv/srcs", False), ("/srv/src", "/srv/src/../x", False), ("/srv/./src/", "/srv//src/a", True), ("/", "/x", True), ("/srv", "srv/x", False), ("/srv", "/../srv/x", True), ("/srv", None, False)]
@@ -430,9 +445,9 @@ def path_allowed(s, d):
     return s.createDataFrame([p[:2] for p in PATHS], "root string, path string").select("root", "path", R.path_allowed(F.col("root"), F.col("path")).alias("allowed"))
 
 
-@query("SELECT seq, 'a' || substr(sha256(session_id), 1, 16) AS agent_id FROM exports WHERE session_id IS NOT NULL")
+@query("SELECT seq, 'a' || substr(sha256(engagement || '/' || session_id), 1, 16) AS agent_id FROM exports WHERE session_id IS NOT NULL")
 def session_ids(s, d):
-    return exports(table(s, d, "participants"), "session_id").filter("session_id is not null").select("seq", R.session_agent_id(F.col("session_id")).alias("agent_id"))
+    return exports(table(s, d, "participants"), "engagement", "session_id").filter("session_id is not null").select("seq", R.session_agent_id(F.col("engagement"), F.col("session_id")).alias("agent_id"))
 
 
 @query("SELECT purge_id, strftime(purged_at, '%Y%m%dT%H%M%S%fZ') AS stamp FROM purges", views=False)
@@ -449,10 +464,11 @@ DEFAULTS = {"investigator": "vendor-a/deep-1:xhigh", "scout": "vendor-b/quick-2:
 CONFIGURED = [("investigator", "vendor-a/deep-1:xhigh"), ("scout", "vendor-c/other:low"), ("analyst", "vendor-b/quick-2:high")]
 
 
-@query("SELECT role, c.model AS model, d.model AS default_model, c.model <> d.model AS changed FROM " + _values(CONFIGURED, "role, model").replace(" t(", " c(") + " JOIN " + _values(list(DEFAULTS.items()), "role, model").replace(" t(", " d(") + " USING (role)", views=False)
+@query("SELECT role, c.model AS model, d.model AS default_model, c.model <> d.model AS changed, count(*) FILTER (WHERE c.model <> d.model) OVER () AS n_changed FROM " + _values(CONFIGURED, "role, model").replace(" t(", " c(") + " JOIN " + _values(list(DEFAULTS.items()), "role, model").replace(" t(", " d(") + " USING (role)", views=False)
 def roles_changed(s, d):
     now, base = s.createDataFrame(CONFIGURED, "role string, model string"), s.createDataFrame(list(DEFAULTS.items()), "role string, default_model string")
-    return now.join(base, "role").select("role", "model", "default_model", (F.col("model") != F.col("default_model")).alias("changed"))
+    both = now.join(base, "role").select("role", "model", "default_model", (F.col("model") != F.col("default_model")).alias("changed"))
+    return both.join(both.agg(F.count_if("changed").alias("n_changed")), how="cross")  # one row
 
 
 @query("SELECT m.agent_id, c.model AS selector FROM members m JOIN " + _values(CONFIGURED, "role, model").replace(" t(", " c(") + " ON c.role = m.role")
@@ -519,12 +535,18 @@ def rpc_reply_valid(s, d):
 
 @query(
     PAGE
-    + """SELECT engagement, agent_id, count(*) AS delivered, true AS valid FROM page WHERE ok GROUP BY ALL"""
+    + """, got AS (SELECT engagement, agent_id, list(seq) AS seqs FROM page WHERE ok GROUP BY ALL),
+asked AS (SELECT *, unnest([0, list_min(seqs), list_max(seqs) - 1]) AS after, unnest(['whole', 'late', 'short']) AS named FROM got),
+read AS (SELECT *, CASE named WHEN 'short' THEN list_max(seqs) - 1 ELSE list_max(seqs) END AS cursor FROM asked)
+SELECT engagement, agent_id, named, len(seqs) AS delivered, len(seqs) <= 32 AND cursor >= after AND list_min(seqs) > after AND list_max(seqs) <= cursor AS valid FROM read"""
 )
 def page_valid(s, d):
+    """Each agent's page as it is, with a cursor before it that names its first message, and with one that lacks its last."""
     got = inbox.pages(_log(s, d, *_BODY, "archived"), _members(s, d, *_AGENT)).groupBy("engagement", "agent_id").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
-    rows = got.select("*", F.lit(0).cast("long").alias("after"), F.array_max("seqs").alias("cursor"), F.lit(False).alias("more"))
-    return frames.page_problems(rows).select("engagement", "agent_id", F.size("seqs").cast("long").alias("delivered"), "valid")
+    top, zero = F.array_max("seqs"), F.lit(0).cast("long")
+    asked = [F.struct(F.lit(n).alias("named"), a.alias("after"), c.alias("cursor")) for n, a, c in (("whole", zero, top), ("late", F.array_min("seqs"), top), ("short", top - 1, top - 1))]
+    rows = got.select("*", F.explode(F.array(*asked)).alias("a")).select("*", "a.*", F.lit(False).alias("more"))
+    return frames.page_problems(rows).select("engagement", "agent_id", "named", F.size("seqs").cast("long").alias("delivered"), "valid")
 
 
 _H = frames.MARK
@@ -624,13 +646,20 @@ diff AS (
 """
 
 
-def _states(s, d):
+def _refs(s, d):
     v = F.try_parse_json("evidence_json")
     listed = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)).otherwise(F.try_variant_get(v, "$", "array<variant>"))
     refs = _log(s, d, "kind", "engagement", "evidence_json").select("kind", "engagement", F.explode(listed).alias("x"))
     ref = F.try_variant_get("x", "$.ref", "string")
-    rows = refs.filter(ref.isNotNull()).select("kind", F.concat_ws("/", "engagement", ref).alias("path"), F.try_variant_get("x", "$.sha256", "string").alias("digest"))
-    per = rows.groupBy("path").agg(*[F.max(F.when(F.col("kind") == k, F.col("digest"))).alias(k) for k in ("ask", "reply")], F.bool_or(F.col("kind") == "reply").alias("planned"))
+    return refs.filter(ref.isNotNull()).select("kind", F.concat_ws("/", "engagement", ref).alias("path"), F.try_variant_get("x", "$.sha256", "string").alias("digest"))
+
+
+def _saved(s, d):
+    return _refs(s, d).filter("kind = 'ask'").groupBy("path").agg(F.min("digest").alias("digest")).filter("digest is not null")
+
+
+def _states(s, d):
+    per = _refs(s, d).groupBy("path").agg(*[F.max(F.when(F.col("kind") == k, F.col("digest"))).alias(k) for k in ("ask", "reply")], F.bool_or(F.col("kind") == "reply").alias("planned"))
     return per.filter("planned").select("path", F.col("reply").alias("digest")), per.filter("ask is not null").select("path", F.col("ask").alias("digest"))
 
 
@@ -649,10 +678,11 @@ def reconcile_manifest(s, d):
     return reconcile.manifest(reconcile.diff(*_states(s, d)))
 
 
-@query(STATES + ", m AS (SELECT d.want IS NOT DISTINCT FROM h.digest AS same FROM diff d LEFT JOIN have h USING (path) WHERE action IN ('install', 'update', 'delete')) SELECT count(*) AS records, count(*) FILTER (WHERE same) AS matching, coalesce(bool_and(same), true) AS allowed FROM m")
+@query(STATES + ", saved AS (SELECT path, min(digest) AS digest FROM files WHERE kind = 'ask' AND digest IS NOT NULL GROUP BY path), m AS (SELECT d.want IS NOT DISTINCT FROM h.digest AND (d.have IS NULL OR d.have IS NOT DISTINCT FROM b.digest) AS same FROM diff d LEFT JOIN have h USING (path) LEFT JOIN saved b USING (path) WHERE action IN ('install', 'update', 'delete')) SELECT count(*) AS records, count(*) FILTER (WHERE same) AS matching, coalesce(bool_and(same), true) AS allowed FROM m")
 def rollback_gate(s, d):
+    """What asks name is current; the least digest that they name stands for the backup."""
     want, have = _states(s, d)
-    return reconcile.rollback_gate(reconcile.manifest(reconcile.diff(want, have)), have)
+    return reconcile.rollback_gate(reconcile.manifest(reconcile.diff(want, have)), have, _saved(s, d))
 
 
 # --- audit ------------------------------------------------------------------------------------------------------------------
@@ -670,9 +700,11 @@ def audit_block(s, d):
     return audit.blocks(_log(s, d, *_BODY, "created_at", "role", "model"))
 
 
-@query("SELECT seq, engagement FROM log WHERE seq > 0 AND seq <= 1000000000000")
+@query(", m AS (SELECT max(seq) AS top FROM log) SELECT seq, engagement FROM log, m WHERE seq > top // 4 AND seq <= top * 3 // 4")
 def audit_range(s, d):
-    return audit.between(_log(s, d, "engagement"), 0, 1_000_000_000_000).select("seq", "engagement")
+    """The middle half of the range of seq."""
+    top = table(s, d, "messages").agg(F.max("seq")).first()[0] or 0
+    return audit.between(_log(s, d, "engagement"), top // 4, top * 3 // 4).select("seq", "engagement")
 
 
 @query("SELECT engagement, count(*) AS projected, max(seq) AS cursor FROM log GROUP BY engagement")
@@ -690,20 +722,41 @@ def audit_recover(s, d):
     return audit.recover(lines)
 
 
-def _checkpoints(s, d):
-    """A checkpoint for every 32 messages that an agent received, each after the one before it."""
-    f = inbox.fanout(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT))
-    paged = rank_in_group(f, "agent_id", "seq", "n").groupBy("agent_id", F.floor((F.col("n") - 1) / R.PAGE_ROWS).alias("position")).agg(F.sort_array(F.collect_list("seq")).alias("seqs"))
-    ends = paged.withColumn("cursor", F.array_max("seqs"))
-    return previous_in_group(ends, "agent_id", "position", "cursor", "before").withColumn("after", F.coalesce("before", F.lit(0))).drop("before"), f
+def _entries(s, d):
+    """The log as session entries: replies and closes are checkpoints from what they answer to themselves; closes name
+    the other end as their agent and events are no custom entries, so neither counts."""
+    rows = _log(s, d, "engagement", "sender", "recipient", "kind", "reply_to").filter("sender is not null")
+    kind = F.coalesce("kind", F.lit(""))
+    return rows.select(
+        F.col("sender").alias("agent_id"),
+        "engagement",
+        F.col("seq").alias("position"),
+        F.when(kind == "event", "message").otherwise("custom").alias("type"),
+        F.when(kind.isin("reply", "close"), audit.CHECKPOINT).otherwise("completion").alias("name"),
+        F.when(kind == "close", F.col("recipient")).otherwise(F.col("sender")).alias("agent"),
+        F.col("engagement").alias("of"),
+        F.when(F.col("reply_to") > F.col("seq"), F.lit(-1)).otherwise(0).cast("long").alias("after"),
+        F.col("seq").alias("cursor"),
+        F.array("reply_to").alias("seqs"),
+    )
 
 
-@query(FANOUT + "SELECT agent_id, max(seq) AS cursor FROM fan GROUP BY agent_id")
+@query(
+    """, c AS (SELECT sender AS agent_id, seq, reply_to, CASE WHEN reply_to > seq THEN -1 ELSE 0 END AS after FROM log WHERE sender IS NOT NULL AND (kind = 'reply' OR (kind = 'close' AND recipient = sender))),
+good AS (SELECT * FROM c WHERE after >= 0 AND EXISTS (SELECT 1 FROM log l WHERE l.recipient = c.agent_id AND l.seq = c.reply_to AND l.archived = 0))
+SELECT c.agent_id, coalesce(max(g.seq), 0) AS cursor FROM c LEFT JOIN good g ON g.agent_id = c.agent_id AND g.seq = c.seq GROUP BY c.agent_id"""
+)
 def cursor_recovery(s, d):
-    checkpoints, delivered = _checkpoints(s, d)
-    return audit.recovered_cursors(checkpoints, delivered)
+    """Delivered is what was sent to the agent itself, so checkpoints that answer a topic or a stray seq are rejected."""
+    own = _log(s, d, *_ADDRESS).filter("archived = 0 and recipient is not null").select(F.col("recipient").alias("agent_id"), "seq")
+    return audit.recovered_cursors(audit.session_checkpoints(_entries(s, d)), own)
+
+
+@query("SELECT engagement, name FROM members WHERE name IS NOT NULL GROUP BY engagement, name HAVING count(*) > 1")
+def duplicate_names(s, d):
+    return frames.named_twice(_members(s, d, "engagement", "name"), "engagement")
 
 
 @query(FANOUT + "SELECT agent_id, count(DISTINCT seq) AS delivered FROM fan GROUP BY agent_id")
 def delivered_set(s, d):
-    return inbox.fanout(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT)).groupBy("agent_id").agg(F.countDistinct("seq").alias("delivered"))
+    return inbox.delivered(_log(s, d, *_ADDRESS), _members(s, d, *_AGENT))

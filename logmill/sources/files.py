@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logmill.errors import LogError
+from logmill.functions.rules import ENVELOPE_BYTES
+from logmill.operators.inbox import envelopes
 from logmill.sources.tables import SCHEMAS
 
 SCOPE = "program string, authorization_basis string, mode string, assets array<string>, allowed_methods array<string>, max_requests bigint, interval_seconds double, created_at string"
@@ -45,11 +49,18 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
 def audit_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: (source, line_no, line, ended) of audit texts, for ``audit.recover``.
 
-    A text is read whole, as its last line may lack its break and lines must be numbered in order.
+    Texts are read in splits by line, so a long one is spread over tasks. line_no ascends within a text, with gaps: where a line's
+    split begins, plus its place in the split. Only the last line may lack its break: the bytes of a text's lines and
+    their breaks then add up to one more than its size.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
-    lines = texts.select("source", F.posexplode(F.split("value", "\n")).alias("line_no", "line"), F.size(F.split("value", "\n")).alias("n"))
-    return lines.select("source", F.col("line_no").cast("long").alias("line_no"), "line", (F.col("line_no") < F.col("n") - 1).alias("ended"))
+    read = spark.read.option("lineSep", "\n").text(path)
+    placed = read.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("begin"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    bytes_ = F.sum(F.octet_length("line") + 1)
+    splits = placed.groupBy("source", "begin").agg(F.min("n").alias("first"), F.max("n").alias("last"), F.max("size").alias("size"), bytes_.alias("bytes"))
+    texts = splits.groupBy("source").agg(F.max("begin").alias("end"), (F.sum("bytes") == F.max("size")).alias("whole"))
+    known = splits.join(texts, "source").select("source", "begin", "first", F.when(~F.col("whole") & (F.col("begin") == F.col("end")), F.col("last")).alias("torn"))
+    lines = placed.join(known, ["source", "begin"])
+    return lines.select("source", (F.col("begin") + F.col("n") - F.col("first")).alias("line_no"), "line", F.coalesce(F.col("n") != F.col("torn"), F.lit(True)).alias("ended"))
 
 
 def create_engagement(scope: DataFrame, path: str) -> None:
@@ -64,7 +75,9 @@ def create_engagement(scope: DataFrame, path: str) -> None:
 
 def append_log(messages: DataFrame, path: str) -> None:
     """SNK2: append messages to the stored log, by engagement and in order of recipient and seq within a file, so
-    that reads of an engagement and an inbox skip the rest."""
+    that reads of an engagement and an inbox skip the rest. If an envelope is larger than may be, nothing is appended."""
+    if not envelopes(messages).filter(F.col("bytes") > ENVELOPE_BYTES).isEmpty():
+        raise LogError(f"an envelope exceeds {ENVELOPE_BYTES} bytes")
     names = [c.split(" ")[0] for c in SCHEMAS["messages"].split(", ")]
     ordered = messages.select(*names).repartition("engagement", F.pmod(F.xxhash64("recipient"), F.lit(16))).sortWithinPartitions("engagement", "recipient", "seq")
     ordered.write.mode("append").partitionBy("engagement").parquet(path)
@@ -78,5 +91,19 @@ def write_audit(blocks: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """SNK4, SNK5: replace a JSON folder; the committer makes it visible when it is whole."""
-    df.write.mode("overwrite").json(path)
+    """SNK4, SNK5: replace a JSON folder. It is written beside, then takes the old one's place by renaming, so a failure
+    while it is written leaves the old one as it was."""
+    spark = df.sparkSession
+    new, old = (f"{path.rstrip('/')}.{mark}-{uuid.uuid4().hex[:8]}" for mark in ("new", "old"))
+    df.write.mode("errorifexists").json(new)
+    at, aside, made = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, old, new))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(at)
+    if there and not fs.rename(at, aside):
+        raise LogError(f"{path} can't be put aside")
+    if not fs.rename(made, at):
+        if there:
+            fs.rename(aside, at)
+        raise LogError(f"{path} can't be replaced")
+    if there:
+        fs.delete(aside, True)

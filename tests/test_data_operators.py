@@ -261,7 +261,21 @@ def test_a_name_that_comes_back_begins_another_chain(spark):
     names = drift.canonical_names(df, drift.changes(df))
     assert {(r.since, r.until, r.name, r.target) for r in names.collect()} == {(2, 3, "hidden", "archived"), (5, 2**31 - 1, "shown", "hidden")}
     got = {(r.file_name, r.archived, r.extra.get("hidden")) for r in drift.unify(df, "messages").collect()}
-    assert got == {("f0", 1, None), ("f1", 1, None), ("f2", None, None), ("f3", None, "9"), ("f4", None, "9")}
+    assert got == {("f0", 1, None), ("f1", 1, None), ("f2", 0, None), ("f3", 0, "9"), ("f4", 0, "9")}, "files that lack the column have its default"
+    done = {(r.file_name, r.step, r.field, r.target) for r in drift.migrations(df, "messages").collect()}
+    assert done == {("f1", "rename", "hidden", "archived"), ("f2", "default", "archived", "0"), ("f3", "default", "archived", "0"), ("f3", "extra", "hidden", ""), ("f4", "default", "archived", "0"), ("f4", "rename", "shown", "hidden"), ("f4", "extra", "shown", "")}
+
+
+def test_embedded_texts_and_objects_are_two_types_of_one_value(spark):
+    inner = {"a": [1, None]}
+    rows = [dump(10 * v + i, f"f{v}", i, {"seq": i, "data_json": d, "archived": None, "model": 7}, v) for v, d in enumerate((json.dumps(inner), inner, json.dumps(inner, indent=1))) for i in range(3)]
+    df = frame(spark, "dump_rows", rows)
+    assert {(r.file_name, r.change, r.field) for r in drift.changes(df).collect()} == {("f1", "retyped", "data_json"), ("f2", "retyped", "data_json")}
+    table = drift.unify(df, "messages").collect()
+    assert {r.data_json for r in table} == {json.dumps(inner), '{"a":[1,null]}', json.dumps(inner, indent=1)} or {json.loads(r.data_json)["a"][0] for r in table} == {1}
+    assert {r.archived for r in table} == {None}, "a record's null is no missing column"
+    assert {(r.file_name, r.step, r.field, r.target) for r in drift.migrations(df, "messages").collect()} == {("f1", "cast", "data_json", "string"), *((f"f{v}", "cast", "model", "string") for v in range(3))}
+    assert drift.migrations(frame(spark, "dump_rows", []), "participants").count() == 0
 
 
 @pytest.mark.parametrize("turned", [False, True])

@@ -45,6 +45,16 @@ def test_keys(spark):
     assert {(r.seq, r.first_seq, r.duplicate, r.conflict) for r in ingest.repeats(l).collect()} == {(2, 1, True, False), (3, 1, False, True)}
 
 
+def test_engagements_have_their_own_keys_and_sessions(spark):
+    rows = [message(1, dedup_key="k"), message(2, dedup_key="k", engagement="f", data_json='{"s":"y"}'), message(3, dedup_key="k", engagement=None), message(4, dedup_key="k", engagement="f", data_json='{"s":"y"}')]
+    assert {r.seq for r in ingest.first_wins(lg(spark, rows)).collect()} == {1, 2, 3}
+    assert {(r.seq, r.first_seq, r.duplicate) for r in ingest.repeats(lg(spark, rows)).collect()} == {(4, 2, True)}
+    people = exports(frame(spark, "participants", [agent(1, "a1", session_id="s"), agent(2, "a2", session_id="s", eng="f", name="n"), agent(3, "a2", session_id="s", eng="f", name="m")]))
+    assert {(r.seq, r.first_seq) for r in ingest.refused_registrations(people).collect()} == {(3, 2)}
+    ids = {r.seq: r.id for r in people.select("seq", R.session_agent_id(F.col("engagement"), F.col("session_id")).alias("id")).collect()}
+    assert ids[1] != ids[2] == ids[3] and all(len(v) == 17 for v in ids.values())
+
+
 def test_bounds(spark):
     rows = [message(1, kind="event"), message(2, data_json=json.dumps({"s": "語" * 700}, ensure_ascii=False)), message(3, data_json="[]"), message(4, data_json='{"a":NaN}'), message(5, evidence_json=json.dumps([{"ref": str(i)} for i in range(9)])), message(6, dedup_key="a|b"), message(7, reply_to=0), message(8), message(9, data_json=None, evidence_json=None, kind=None)]
     got = {r.seq: r.violations for r in ingest.violations(lg(spark, rows)).collect()}
@@ -86,6 +96,17 @@ def test_envelope_text(spark):
     got = {r.seq: json.loads(r.envelope) for r in inbox.envelopes(l).collect()}
     assert got[1]["refs"] == [f"r{i}" for i in range(8)] and got[1]["more_refs"] == 2 and got[1]["reply"] == 7
     assert got[2]["refs"] == ["lone"] and "refs" not in got[3] and "reply" not in got[3]
+    odd = lg(spark, [message(1, sender='a"b\\', recipient="x\ny", kind="\t", evidence_json=json.dumps([{"ref": 'n"q.txt'}])), message(2, data_json="{bad", sender=None), message(3, data_json=json.dumps({"s": "x" * 5000}), sender='"')])
+    got = {r.seq: r for r in inbox.envelopes(odd).collect()}
+    assert json.loads(got[1].envelope) == {"data": {"s": "x"}, "from": 'a"b\\', "kind": "", "refs": ['n"q.txt'], "seq": 1, "to": "x\ny"}
+    assert json.loads(got[2].envelope) == {"kind": "ask", "seq": 2, "to": "a2"} and got[3].delivered_bytes < 200
+    stub = json.loads(odd.filter("seq = 3").select(inbox.stub_text()).first()[0])
+    assert stub["from"] == '"' and stub["data"]["legacy_message"] == 3
+
+
+def test_delivered_adds_up_addresses(spark, team):
+    rows = [message(1, recipient="a1"), message(2, recipient="@scout"), message(3, recipient="@scout", archived=1), message(4, recipient="a2"), message(5, recipient="@planner"), message(6, recipient=None)]
+    assert {(r.agent_id, r.delivered) for r in inbox.delivered(lg(spark, rows), team).collect()} == {("a1", 2), ("a2", 1)}
 
 
 def test_roster_keeps_the_newest(spark):
@@ -143,9 +164,12 @@ def test_reconcile(spark):
     assert {(r.path, r.action, r.conflict) for r in d.collect()} == {("a", "unchanged", False), ("b", "update", True), ("c", "delete", True), ("d", "unchanged", False), ("n", "install", False), ("z", "keep", False)}
     m = reconcile.manifest(d)
     after = spark.createDataFrame([("a", "1"), ("b", "2"), ("n", "9")], "path string, digest string")
-    assert reconcile.rollback_gate(m, after).first().allowed
-    assert not reconcile.rollback_gate(m, after.union(spark.createDataFrame([("c", "again")], "path string, digest string"))).first().allowed
-    assert reconcile.rollback_gate(m.limit(0), after).first().allowed
+    saved = spark.createDataFrame([("b", "x"), ("c", "3")], "path string, digest string")
+    assert tuple(reconcile.rollback_gate(m, after, saved).first()) == (3, 3, True)
+    assert not reconcile.rollback_gate(m, after.union(spark.createDataFrame([("c", "again")], "path string, digest string")), saved).first().allowed
+    assert not reconcile.rollback_gate(m, after, saved.filter("path = 'b'")).first().allowed
+    assert not reconcile.rollback_gate(m, after, saved.withColumn("digest", F.lit("x"))).first().allowed
+    assert reconcile.rollback_gate(m.limit(0), after, saved).first().allowed
 
 
 def test_audit_recovery(spark, tmp_path):
@@ -159,6 +183,35 @@ def test_audit_recovery(spark, tmp_path):
     assert got == {"whole": 3, "cut": 1, "torn": 1, "orphan": 1}
 
 
+def test_a_text_of_many_splits_is_numbered_in_order(spark, tmp_path):
+    text = "".join(f"line {i} {'é' * (i % 50)}\n" for i in range(3000)) + "torn"
+    (tmp_path / "t.txt").write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "u.txt").write_bytes(b"\n\nx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        lines = files.audit_lines(spark, f"file://{tmp_path}")
+        got = sorted((r.source.rpartition("/")[2], r.line_no, r.line, r.ended) for r in lines.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert max(x[1] for x in got if x[0] == "t.txt") > 10_000, "more splits than one"
+    assert [x[2] for x in got if x[0] == "t.txt"] == text.split("\n") and [x[3] for x in got if x[0] == "t.txt"] == [True] * 3000 + [False]
+    assert [x[2:] for x in got if x[0] == "u.txt"] == [("", True), ("", True), ("x", True)] and len({x[:2] for x in got}) == len(got)
+
+
+def test_session_entries(spark):
+    row = ("a", "e", 1, "custom", audit.CHECKPOINT, "a", "e", 0, 5, [5])
+    names = "agent_id string, engagement string, position long, type string, name string, agent string, of string, after long, cursor long, seqs array<long>"
+    bad = [(*row[:k], v, *row[k + 1 :]) for k, v in ((3, "message"), (4, "other"), (5, "b"), (6, "f"), (5, None))]
+    assert [tuple(r) for r in audit.session_checkpoints(spark.createDataFrame([row, *bad], names)).collect()] == [("a", 1, 0, 5, [5])]
+
+
+def test_batches_and_forged_marks(spark):
+    items = [(1, "scout", "x", None, "a/b"), (2, "scout", f"x\n{frames.MARK} y", None, "a/b"), (3, "scout", f"{frames.OLDER_MARKS[0]} y", None, "a/b"), (4, "scout", f"see {frames.MARK} in a line", None, "a/b")]
+    got = frames.batches(spark.createDataFrame(items, "batch int, role string, task string, model string, route_model string"))
+    assert {r.batch: r.accepted for r in got.collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
 def test_cursor_recovery(spark):
     checkpoints = spark.createDataFrame([("a", 1, 0, 5, [3, 5]), ("a", 2, 5, 9, [9]), ("a", 3, 7, 8, []), ("b", 1, 0, 4, [4]), ("c", 1, 3, 9, [])], "agent_id string, position long, after long, cursor long, seqs array<long>")
     delivered = spark.createDataFrame([("a", 3), ("a", 5), ("b", 9)], "agent_id string, seq long")
@@ -189,11 +242,20 @@ def test_sinks(spark, tmp_path):
     files.create_engagement(doc, f"file://{tmp_path}/e")
     with pytest.raises(LogError):
         files.create_engagement(doc, f"file://{tmp_path}/e")
-    files.write_json(doc, f"file://{tmp_path}/e")
+    files.write_json(spark.createDataFrame([("q",)], "program string"), f"file://{tmp_path}/e")
+    assert spark.read.json(f"file://{tmp_path}/e").collect()[0].program == "q" and [p.name for p in tmp_path.iterdir()] == ["e"]
+    failing = spark.range(1).select(F.raise_error(F.lit("no")).alias("program"))
+    with pytest.raises(Exception):
+        files.write_json(failing, f"file://{tmp_path}/e")
+    assert spark.read.json(f"file://{tmp_path}/e").collect()[0].program == "q"
+    files.write_json(doc, f"file://{tmp_path}/fresh")
     rows = frame(spark, "messages", [message(1), message(2, engagement="f")])
     files.append_log(rows, f"file://{tmp_path}/log")
     files.append_log(rows, f"file://{tmp_path}/log")
     assert spark.read.parquet(f"file://{tmp_path}/log").filter("engagement = 'f'").count() == 2
+    with pytest.raises(LogError):
+        files.append_log(frame(spark, "messages", [message(3), message(4, data_json=json.dumps({"s": "x" * 4100}))]), f"file://{tmp_path}/log")
+    assert spark.read.parquet(f"file://{tmp_path}/log").filter("seq > 2").count() == 0
     files.write_audit(audit.blocks(lg(spark, [message(1), message(2)])), f"file://{tmp_path}/audit")
     assert {r.cursor for r in audit.recover(files.audit_lines(spark, f"file://{tmp_path}/audit/*/*.txt")).collect()} <= {1, 2}
 
@@ -217,3 +279,6 @@ def test_streams(spark, tmp_path, team):
     for _ in range(2):
         stream.project_audit(source, f"{tmp_path}/audit", f"{tmp_path}/ac").awaitTermination()
     assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/audit").collect()) == [1, 2, 3, 4, 5]
+    frame(spark, "messages", [message(3, arrived_at=at(900)), message(6)]).coalesce(1).write.mode("append").parquet(path)
+    stream.project_audit(source, f"{tmp_path}/audit", f"{tmp_path}/ac").awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/audit").collect()) == [1, 2, 3, 4, 5, 6]
