@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logmill.operators import drift, hierarchy, nested, references
 from logmill.plans.scratch import Scratch
+from logmill.queries_nested import records_sql, subtype_sql
 from logmill.sources.tables import table
 
 
@@ -65,15 +66,16 @@ def p4_shapes(s, d):
 
 def _subtype(name: str):
     def query(s, d):
-        more = F.array_sort(F.map_entries("more"))
-        return nested.subtype(nested.flatten(table(s, d, "messages")), name).withColumn("more", F.to_json(F.map_from_entries(more)))
+        typed = nested.subtype(nested.flatten(table(s, d, "messages")), name)
+        lists = {c: F.array_join(c, ",") for c, t in nested.SUBTYPES[name].items() if t.startswith("array")}
+        return typed.withColumns(lists | {"more": F.to_json(F.map_from_entries(F.array_sort(F.map_entries("more"))))})
 
     return query
 
 
 def p4_others(s, d):
     fields = F.array_sort(F.map_entries("fields"))
-    return nested.others(nested.flatten(table(s, d, "messages"))).withColumn("fields", F.to_json(F.map_from_entries(fields)))
+    return nested.others(nested.flatten(table(s, d, "messages"))).drop("element", "element_parent").withColumn("fields", F.to_json(F.map_from_entries(fields)))
 
 
 def p5_found(s, d):
@@ -218,7 +220,14 @@ changes AS (
     ELSE len(now_types) > 0 AND len(before_types) > 0 AND NOT list_has_any(now_types, before_types) END)
 """
 
+RECORDS = records_sql(WALK[: WALK.index(",\nwalk AS")], opened_sql)
+
 SQL = {
+    "p4_shapes": RECORDS + "SELECT field, record_type, shape, count(*) AS n_records FROM recs GROUP BY ALL",
+    **{f"p4_{name}": RECORDS + subtype_sql(name) for name in nested.SUBTYPES},
+    "p4_others": RECORDS
+    + f"""SELECT r.*, '{{' || coalesce(string_agg(CAST(to_json(f.dotted) AS VARCHAR) || ':' || coalesce(CAST(to_json(f.text) AS VARCHAR), 'null'), ',' ORDER BY f.dotted) FILTER (f.dotted IS NOT NULL), '') || '}}' AS fields
+FROM recs r LEFT JOIN fields f ON f.seq = r.seq AND f.field = r.field AND f.holder = r.node_path WHERE r.record_type NOT IN ({", ".join(f"'{n}'" for n in nested.SUBTYPES)}) GROUP BY ALL""",
     "p5_found": DRIFT + "SELECT feed, file_name, change, field, old_field FROM changes",
     "p5_fingerprints": DRIFT + "SELECT feed, file_name, CAST(version AS INT) AS version, field, array_to_string(types, ',') AS types FROM seen",
     "p4_found": WALK + "SELECT seq, field, path AS node_path, parent AS parent_path FROM walk WHERE row",
