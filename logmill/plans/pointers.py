@@ -32,7 +32,7 @@ def jump(links: DataFrame, scratch: Scratch, paths: bool = False) -> DataFrame:
         if not left:
             break
         other = done.unionByName(todo).select(F.col("node").alias("ptr"), F.col("ptr").alias("o_ptr"), F.col("root").alias("o_root"), F.col("depth").alias("o_depth"), *([F.col("path").alias("o_path")] if paths else []))
-        stepped = join_one(todo.drop("root"), other, ["ptr"]).select(
+        stepped = join_one(todo.drop("root"), other, ["ptr"], rows=left).select(
             "node",
             F.col("o_ptr").alias("ptr"),
             F.col("o_root").alias("root"),

@@ -11,19 +11,22 @@ from logmill.plans.ship import ship
 HOT_ROWS = 200_000
 
 
-def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Join ``many`` with ``one``, which has one row a key or a few, however often a key occurs in ``many``.
 
     Keys with more than ``hot_rows`` rows in ``many`` get salts on both sides, as many as their counted rows fill with
     ``hot_rows`` each, so no salt has much more rows however hot its key is. There are at most rows / hot_rows such keys
     and as many salts again, which bounds the broadcast and the copies: 500,000 for 1e11 rows. ``how``: inner, left,
-    left_semi or left_anti. Null keys match nothing; for ``left`` and ``left_anti`` they are kept apart so that
+    left_semi or left_anti. Where ``rows``, a known count of ``many``, is no more than one hot key has, none is looked for. Null keys match nothing; for ``left`` and ``left_anti`` they are kept apart so that
     they don't meet in one task.
     """
     present = F.lit(True)
     for k in keys:
         present &= F.col(k).isNotNull()
     held = many.filter(present)
+    if rows is not None and rows <= hot_rows:
+        plain = held.join(one, keys, how)
+        return plain.unionByName(many.filter(~present), allowMissingColumns=True) if how in ("left", "left_anti") else plain
     hot = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows).select(*keys, F.ceil(F.col("__rows") / F.lit(hot_rows)).alias("__salts"))
     spread = F.pmod(F.xxhash64(*[many[c] for c in many.columns]), F.col("__salts"))
     left = held.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(spread, F.lit(0).cast("long"))).drop("__salts")

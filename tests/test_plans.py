@@ -15,6 +15,8 @@ def test_join_one_equals_a_plain_join(how, spark):
     want = many.join(one, ["k"], how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert "__salt" not in got.columns
+    few = skew.join_one(many, one, ["k"], how, rows=300)
+    assert sorted(map(str, few.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
 
 def test_rank_in_group(spark):
